@@ -6,9 +6,12 @@ import importlib
 
 #: query name -> module with ``query(spark, sf_dir)`` and ``SQL`` (None where SQL can't express it)
 MODULES = {
+    "op1_html_extraction": "op1_html_extraction",
     "op4_quality_rules": "op4_quality_rules",
     "op6_token_counts": "op6_token_counts",
+    "op7_mix_sources": "op7_mix_sources",
     "op8_byte_bpe": "op8_byte_bpe",
+    "op9_line_dedup": "op9_line_dedup",
 }
 
 
