@@ -8,10 +8,12 @@ import importlib
 MODULES = {
     "op1_html_extraction": "op1_html_extraction",
     "op4_quality_rules": "op4_quality_rules",
+    "op5_suffix_dedup": "op5_suffix_dedup",
     "op6_token_counts": "op6_token_counts",
     "op7_mix_sources": "op7_mix_sources",
     "op8_byte_bpe": "op8_byte_bpe",
     "op9_line_dedup": "op9_line_dedup",
+    "op10_substring_dedup": "op10_substring_dedup",
 }
 
 
