@@ -7,6 +7,7 @@ import importlib
 #: query name -> module with ``query(spark, sf_dir)`` and ``SQL`` (None where SQL can't express it)
 MODULES = {
     "op1_html_extraction": "op1_html_extraction",
+    "op2_jaccard_join": "op2_jaccard_join",
     "op4_quality_rules": "op4_quality_rules",
     "op5_suffix_dedup": "op5_suffix_dedup",
     "op6_token_counts": "op6_token_counts",

@@ -153,7 +153,7 @@ def id_filter(ids: DataFrame) -> "np.ndarray":
     return out
 
 
-def _in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     slot = ids % FILTER_BITS
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
@@ -164,7 +164,7 @@ def only(keys: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hit = np.flatnonzero(_in_filter(sent.value, A.column(batch, "id").to_numpy()))
+            hit = np.flatnonzero(in_filter(sent.value, A.column(batch, "id").to_numpy()))
             for i in range(0, len(hit), 256):
                 yield batch.take(pa.array(hit[i : i + 256]))
 
@@ -333,7 +333,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, run: Callable, schema: str,
 
     def direct(batches):
         for batch in batches:
-            rest = np.flatnonzero(~_in_filter(bits.value, A.column(batch, "id").to_numpy()))
+            rest = np.flatnonzero(~in_filter(bits.value, A.column(batch, "id").to_numpy()))
             for i in range(0, len(rest), 256):
                 part = batch.take(pa.array(rest[i : i + 256]))
                 empty = pa.array([[]] * len(part), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
