@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_html_extraction": "op1_html_extraction",
     "op2_jaccard_join": "op2_jaccard_join",
+    "op3_nearest": "op3_nearest",
     "op4_quality_rules": "op4_quality_rules",
     "op5_suffix_dedup": "op5_suffix_dedup",
     "op6_token_counts": "op6_token_counts",
