@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import table
+
 #: stripped at both ends of a line, and nothing else
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +49,8 @@ def drop_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .select(F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"), "_id", "_text_hash", "_pos")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = lines.repartitionByRange(n, "_h1", "_h2", "_id", "_pos").sortWithinPartitions("_h1", "_h2", "_id", "_pos")
+    # written once: the aggregation and the join below would each read, split and sort the texts anew
+    lines = table(lines.repartitionByRange(n, "_h1", "_h2", "_id", "_pos").sortWithinPartitions("_h1", "_h2", "_id", "_pos"), "lines")
     firsts = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
     dropped = lines.join(firsts, ["_h1", "_h2"]).where(F.col("_id") > F.col("_first"))
     words = dropped.groupBy("_id", "_text_hash", F.floor(F.col("_pos") / 64).cast("int").alias("_w")).agg(
