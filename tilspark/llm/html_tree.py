@@ -203,11 +203,13 @@ def score(blocks: list[tuple[Node, list[str]]]) -> tuple[Node | None, float]:
         weight = size * (1.0 if size >= 40 else 0.5)
         if node.tag in ("li", "td", "dd"):
             weight *= 0.5
-        c = container(node)
-        while c.parent is not None:
+        c = container(node)  # the root, if nothing else
+        while True:
             c.score += weight
             seen[id(c)] = c
             weight *= 0.5
+            if c.parent is None:
+                break
             c = container(c.parent)
     if not seen:
         return None, 0.0
@@ -233,9 +235,11 @@ def extract(blocks: list[tuple[Node, list[str]]], paths: list[str], fallback: bo
     if paths:
         for node, _ in blocks:
             c = container(node)
-            while c.parent is not None and id(c) not in known:
+            while id(c) not in known:
                 known[id(c)] = p = c.path()
                 ancestors.setdefault(p, []).append(c)
+                if c.parent is None:
+                    break
                 c = container(c.parent)
     chosen: list[Node] = []
     path = ""
