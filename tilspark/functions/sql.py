@@ -28,7 +28,7 @@ def register(spark: SparkSession) -> None:
     for name, make in (("kaz_harmony", phonology.harmony_class), ("kaz_final_class", phonology.final_class)):
         body = one.select(make(F.col("x")))._jdf.queryExecution().analyzed().expressions().head().child().sql()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {body}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kaz_words(x STRING) RETURNS ARRAY<STRING> RETURN filter(split(coalesce(x, ''), r'(?U)\s+'), w -> w <> '')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kaz_words(x STRING) RETURNS ARRAY<STRING> RETURN filter(split(coalesce(x, ''), r'(?U)\\s+'), w -> w <> '')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kaz_normalize(x STRING) RETURNS STRING RETURN {_normalize_sql()}")
 
 
@@ -45,4 +45,4 @@ def _normalize_sql() -> str:
     words = ", ".join(f"'{w}'" for w in text.DIGITS)
     digits = f"if(rlike(r, '^[0-9]+$'), array_join(transform(filter(split(r, ''), d -> d <> ''), d -> element_at(array({words}), cast(d as int) + 1)), ' '), r)"
     out = f"array_join(transform(regexp_extract_all({out}, '[0-9]+|[^0-9]+', 0), r -> {digits}), '')"
-    return f"trim(regexp_replace(regexp_replace({out}, '[^{text.ALPHABET} ]', ' '), r'(?U)\s+', ' '))"
+    return f"trim(regexp_replace(regexp_replace({out}, '[^{text.ALPHABET} ]', ' '), r'(?U)\\s+', ' '))"

@@ -63,7 +63,9 @@ def morph_wer(pairs: DataFrame, params: MorphWER = MorphWER(), seg: M.Segmenter
 def examples(pairs: DataFrame, params: MorphWER = MorphWER(), seg: M.Segmenter = M.Segmenter(), **columns) -> DataFrame:
     """The first substitutions with the right root, in corpus order, as text."""
     ops = costed(aligned(pairs, **columns), params, seg).where(F.col("kind") == "suffix")
-    line = F.format_string("'%s' -> '%s'  (root ok, suffix Δ, cost=%.2f)", "ref", "hyp", "cost")
+    # a dozen rows; the JVM would round ties of decimal digits, which binary fractions aren't
+    two = F.pandas_udf(lambda c: c.map(lambda x: f"{x:.2f}"), "string", F.PandasUDFType.SCALAR)
+    line = F.format_string("'%s' -> '%s'  (root ok, suffix Δ, cost=%s)", "ref", "hyp", two("cost"))
     return ops.orderBy("utt_id", "pos").limit(params.collect_examples).select("utt_id", "pos", line.alias("example"))
 
 

@@ -74,26 +74,26 @@ def _sql_analyses(words: str) -> str:
     final = []
     for order, (chain, slots) in enumerate(S.CHAINS.items()):
         prev = f"{chain}0"
-        parts.append(f"{prev} AS (SELECT word, word AS stem, 0.0::DOUBLE AS s, '' AS tags, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS s3, 0 AS o1, 0 AS o2, 0 AS o3 FROM w0)")
+        parts.append(f"{prev} AS (SELECT word, word AS stem, 0.0::DOUBLE AS s, '' AS tags, '' AS surf, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS s3, 0 AS o1, 0 AS o2, 0 AS o3 FROM w0)")
         for k, slot in enumerate(reversed(slots), 1):
             stem = "left(stem, length(stem) - length(surface))"
             peel = (
-                f"SELECT word, {stem} AS stem, s + (CASE WHEN {_sql_licensed(stem)} THEN 1.0::DOUBLE ELSE -0.9::DOUBLE END - 0.35::DOUBLE) AS s, tag || CASE WHEN tags = '' THEN '' ELSE ',' || tags END AS tags, s1, s2, s3, "
+                f"SELECT word, {stem} AS stem, s + (CASE WHEN {_sql_licensed(stem)} THEN 1.0::DOUBLE ELSE -0.9::DOUBLE END - 0.35::DOUBLE) AS s, tag || CASE WHEN tags = '' THEN '' ELSE ',' || tags END AS tags, surface || CASE WHEN tags = '' THEN '' ELSE ',' || surf END AS surf, s1, s2, s3, "
                 + ", ".join(f"4 - length(surface) AS o{i}" if i == k else f"o{i}" for i in (1, 2, 3))
                 + f" FROM {prev} JOIN sx ON slot = '{slot}' AND right(stem, length(surface)) = surface AND length(stem) - length(surface) >= 2"
             )
-            both = f"SELECT word, stem, s, tags, s1, s2, s3, o1, o2, o3 FROM {prev} UNION ALL {peel}"
+            both = f"SELECT word, stem, s, tags, surf, s1, s2, s3, o1, o2, o3 FROM {prev} UNION ALL {peel}"
             cols = ", ".join(f"s AS s{i}" if i == k else f"s{i}" for i in (1, 2, 3))
-            parts.append(f"{chain}{k} AS (SELECT word, stem, s, tags, {cols}, o1, o2, o3 FROM ({both}) q)")
+            parts.append(f"{chain}{k} AS (SELECT word, stem, s, tags, surf, {cols}, o1, o2, o3 FROM ({both}) q)")
             prev = f"{chain}{k}"
         deficit = f"(greatest(0, 3 - length(stem)) + CASE WHEN regexp_matches(stem, '[{_VOWEL}]') THEN 0 ELSE 2 END)"
-        final.append(f"SELECT word, stem AS root, tags, '{chain}' AS chain, {order} AS co, s - 0.08::DOUBLE * {deficit} AS score, s3, s2, s1, o1, o2, o3 FROM {prev} WHERE tags <> ''")
+        final.append(f"SELECT word, stem AS root, tags, surf, '{chain}' AS chain, {order} AS co, s - 0.08::DOUBLE * {deficit} AS score, s3, s2, s1, o1, o2, o3 FROM {prev} WHERE tags <> ''")
     deficit = f"(greatest(0, 3 - length(word)) + CASE WHEN regexp_matches(word, '[{_VOWEL}]') THEN 0 ELSE 2 END)"
-    final.append(f"SELECT word, word, '', 'root', 2, CASE WHEN regexp_matches(word, '[{_VOWEL}]') THEN 0.15::DOUBLE ELSE -0.2::DOUBLE END - 0.08::DOUBLE * {deficit}, 0, 0, 0, 0, 0, 0 FROM w0")
+    final.append(f"SELECT word, word, '', '', 'root', 2, CASE WHEN regexp_matches(word, '[{_VOWEL}]') THEN 0.15::DOUBLE ELSE -0.2::DOUBLE END - 0.08::DOUBLE * {deficit}, 0, 0, 0, 0, 0, 0 FROM w0")
     order = "score DESC, co, s3 DESC, s2 DESC, s1 DESC, o1, o2, o3"
     parts.append(f"every AS ({' UNION ALL '.join(final)})")
     parts.append(f"firsts AS (SELECT *, row_number() OVER (PARTITION BY word, root, tags ORDER BY {order}) AS d FROM every)")
-    parts.append(f"parses AS (SELECT word, root, tags, chain, score, row_number() OVER (PARTITION BY word ORDER BY {order}) AS rk FROM firsts WHERE d = 1)")
+    parts.append(f"parses AS (SELECT word, root, tags, surf, chain, score, row_number() OVER (PARTITION BY word ORDER BY {order}) AS rk FROM firsts WHERE d = 1)")
     return ",\n".join(parts)
 
 
@@ -273,8 +273,7 @@ def wer_turns(spark, sf_dir):
 
 
 def cer_turns(spark, sf_dir):
-    c = _turns(spark, sf_dir).select("utt_id", F.substring("ref", 1, 120).alias("ref"), F.substring("hyp", 1, 120).alias("hyp"))
-    return L.character_error_rate(c).withColumn("cer", F.round("cer", 9))
+    return L.character_error_rate(_turns(spark, sf_dir)).withColumn("cer", F.round("cer", 9))
 
 
 def word_distances(spark, sf_dir):
@@ -393,6 +392,20 @@ walk AS (SELECT utt_id, 0 AS i, list_transform(range(0, len(h) + 1), lambda x: x
 UNION ALL SELECT utt_id, i + 1, list_reduce(list_prepend([i + 1]::BIGINT[], list_transform(range(1, len(h) + 1), lambda j: [least(d[j + 1] + 1, d[j] + CASE WHEN h[j] = r[i + 1] THEN 0 ELSE 1 END)]::BIGINT[])), lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + 1))), r, h FROM walk WHERE i < len(r)),
 dist AS (SELECT utt_id, d[len(d)] AS distance, len(r) AS n FROM walk WHERE i = len(r))"""
 
+_SQL_SURFACES = B.sql_list(sorted({x.surface for x in S.SUFFIXES}))
+
+
+def _sql_ops() -> str:
+    """CTEs up to ``ops(utt_id, pos, ref, hyp, kind, cost)``.  DuckDB's distance counts bytes: each
+    surface becomes one ASCII character."""
+    spell = lambda x: f"CASE WHEN {x}.surf = '' THEN '' ELSE array_to_string(list_transform(string_split({x}.surf, ','), lambda s: chr((32 + list_position({_SQL_SURFACES}, s))::INT)), '') END"
+    words = "SELECT a AS word FROM script WHERE op = 'sub' UNION SELECT b FROM script WHERE op = 'sub'"
+    return f"""{_sql_costs()}, {_sql_analyses(words)}, best AS (SELECT * FROM parses WHERE rk = 1),
+subs AS (SELECT s.*, x.root = y.root AS same, {spell('x')} AS ca, {spell('y')} AS cb FROM script s JOIN best x ON x.word = s.a JOIN best y ON y.word = s.b WHERE op = 'sub'),
+ops AS (SELECT utt_id, pos, a AS ref, b AS hyp, CASE WHEN same THEN 'suffix' ELSE 'root' END AS kind, CASE WHEN same THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END + 0.35::DOUBLE * levenshtein(ca, cb) / greatest(length(ca), length(cb), 1) AS cost FROM subs
+UNION ALL SELECT utt_id, pos, a, b, CASE op WHEN 'match' THEN 'exact' ELSE op END, CASE op WHEN 'match' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM script WHERE op <> 'sub')"""
+
+
 _V = {c: i for i, c in enumerate([*sorted(T.ALPHABET), vocab.WORD_DELIMITER, vocab.UNKNOWN, vocab.PADDING])}
 
 
@@ -425,9 +438,18 @@ e AS (SELECT 0 AS g, 0 AS o, token FROM c UNION ALL VALUES (1, 0, '|'), (1, 1, '
     "root_frequency": f"WITH {_sql_analyses(_SQL_LEXICON)}, c AS (SELECT word, count(*) AS c FROM ({_SQL_LEXICON}) q GROUP BY word) SELECT root, sum(c)::BIGINT AS n, count(*) AS n_forms FROM c JOIN parses USING (word) WHERE rk = 1 GROUP BY root",
     "tag_distribution": f"WITH {_sql_analyses(_SQL_LEXICON)} SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags, ',')) AS tag FROM ({_SQL_LEXICON}) q JOIN parses USING (word) WHERE rk = 1 AND tags <> '') q GROUP BY tag",
     "wer_turns": f"WITH RECURSIVE {_SQL_TURNS}, t AS (SELECT utt_id, {_sql_words('ref')} AS r, {_sql_words('hyp')} AS h FROM turns), {_SQL_DISTANCE.format('t')} SELECT sum(distance)::BIGINT AS edits, sum(n)::BIGINT AS n_ref, round(sum(distance)::DOUBLE / sum(n), 9) AS wer FROM dist",
-    "cer_turns": f"WITH RECURSIVE {_SQL_TURNS}, t AS (SELECT utt_id, list_filter(string_split(replace(left(ref, 120), ' ', ''), ''), lambda x: x <> '') AS r, list_filter(string_split(replace(left(hyp, 120), ' ', ''), ''), lambda x: x <> '') AS h FROM turns), {_SQL_DISTANCE.format('t')} SELECT sum(distance)::BIGINT AS edits, sum(n)::BIGINT AS n_ref, round(sum(distance)::DOUBLE / sum(n), 9) AS cer FROM dist",
+    # DuckDB's distance counts bytes: the characters of a pair are renamed to ASCII first
+    "cer_turns": f"""WITH {_SQL_TURNS}, t AS (SELECT string_split(replace(ref, ' ', ''), '') AS r, string_split(replace(hyp, ' ', ''), '') AS h, list_distinct(string_split(ref || hyp, '')) AS u FROM turns),
+e AS (SELECT array_to_string(list_transform(r, lambda c: chr((31 + list_position(u, c))::INT)), '') AS r, array_to_string(list_transform(h, lambda c: chr((31 + list_position(u, c))::INT)), '') AS h FROM t)
+SELECT sum(levenshtein(r, h))::BIGINT AS edits, sum(length(r))::BIGINT AS n_ref, round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 9) AS cer FROM e""",
     "word_distances": f"WITH RECURSIVE {_SQL_TURNS}, t AS (SELECT utt_id, {_sql_words('ref')} AS r, {_sql_words('hyp')} AS h FROM turns), {_SQL_DISTANCE.format('t')} SELECT utt_id, distance FROM dist",
     "align_ops": f"WITH RECURSIVE {_sql_costs()} SELECT utt_id, string_agg(op, ',' ORDER BY pos) AS ops, count(*) FILTER (WHERE op = 'match') AS n_match, count(*) FILTER (WHERE op = 'sub') AS n_sub, count(*) FILTER (WHERE op = 'del') AS n_del, count(*) FILTER (WHERE op = 'ins') AS n_ins FROM script GROUP BY utt_id",
+    "mwer_breakdown": f"WITH RECURSIVE {_sql_ops()} SELECT kind, count(*) AS n, round(sum(cost), 6) AS cost FROM ops GROUP BY kind",
+    "mwer_lexicon": f"""WITH RECURSIVE {_sql_ops()}, t AS (SELECT count(ref) AS n_ref_words, count(*) FILTER (WHERE kind = 'exact') AS exact, count(*) FILTER (WHERE kind = 'suffix') AS suffix_only, count(*) FILTER (WHERE kind = 'root') AS root_errors,
+count(*) FILTER (WHERE kind = 'ins') AS insertions, count(*) FILTER (WHERE kind = 'del') AS deletions, sum(cost) AS c FROM ops)
+SELECT round(c / n_ref_words, 6) AS m_wer, round((suffix_only + root_errors + insertions + deletions)::DOUBLE / n_ref_words, 6) AS wer_equivalent, n_ref_words, exact, suffix_only, root_errors, insertions, deletions, round(c, 6) AS total_cost FROM t""",
+    "mwer_examples": f"WITH RECURSIVE {_sql_ops()} SELECT utt_id, pos, chr(39) || ref || chr(39) || ' -> ' || chr(39) || hyp || chr(39) || '  (root ok, suffix Δ, cost=' || printf('%.2f', cost) || ')' AS example FROM ops WHERE kind = 'suffix' ORDER BY utt_id, pos LIMIT 12",
+    "morpheme_sequences": f"WITH {_sql_lexicon_pairs()}, x AS (SELECT utt_id, i, r[i] AS word FROM (SELECT utt_id, r, unnest(range(1, len(r) + 1)) AS i FROM pairs) q), {_sql_analyses('SELECT word FROM x')} SELECT utt_id AS sent_id, string_agg(root || CASE WHEN tags = '' THEN '' ELSE ' ' || replace(tags, ',', ' ') END, ' ' ORDER BY i) AS tokens FROM x JOIN parses USING (word) WHERE rk = 1 GROUP BY utt_id",
     "ngram_counts": f"WITH {_SQL_SENTENCES}, {_sql_grams(_ORDER)} SELECT n::BIGINT AS n, array_to_string(ctx, ' ') AS ctx, word, c FROM grams",
     "continuation_counts": f"WITH {_SQL_SENTENCES}, {_sql_grams(_ORDER)}, {_SQL_CONT} SELECT n::BIGINT AS n, array_to_string(ctx, ' ') AS ctx, word, k FROM cont",
     "discounts": f"WITH {_SQL_SENTENCES}, {_sql_grams(_ORDER)}, {_SQL_DISC} SELECT n::BIGINT AS n, round(d1, 9) AS d1, round(d2, 9) AS d2, round(d3, 9) AS d3 FROM disc",
