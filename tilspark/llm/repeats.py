@@ -35,7 +35,7 @@ NO_ID = 2**63 - 1
 #: bits of the filter that tells which documents a join needs; false alarms cost a shuffled row
 FILTER_BITS = 1 << 25
 _POSITION = 26  # bits of a position in a slice
-SLICE_UNITS = 1 << 21
+SLICE_UNITS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class Unit:
     gram: int
     split: Callable
     most_classes: int = 2048
-    shard_units: int = 1 << 20
+    shard_units: int = 1 << 19
 
 
 def _bytes(buf, off):
@@ -59,7 +59,7 @@ def byte_unit(length: int) -> Unit:
 
 
 def word_unit(length: int) -> Unit:
-    return Unit("word", length, max(1, length // 6), A.words, shard_units=1 << 18)
+    return Unit("word", length, max(1, length // 6), A.words, shard_units=1 << 17)
 
 
 def items(unit: Unit, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(keys: DataFrame, unit: Unit) -> DataFrame:
-    """All fragments of all documents: ``ah, fh, id, th, at, size``."""
+    """All fragments of all documents: ``ah, fh, id, th, at, size, reps``.
+
+    In periodic text equal fragments follow each other, each where the windows of the one before
+    end; such a row stands for ``reps`` of them, so a filler that a text repeats is one row.
+    """
 
     def run(batches):
         for batch in batches:
@@ -138,9 +142,13 @@ def occurrences(keys: DataFrame, unit: Unit) -> DataFrame:
             for i, _, buf, off in A.sliced(A.column(batch, "text"), SLICE_UNITS):
                 item, uoff = items(unit, buf, off)
                 for r, at, size, anchor, content in _chunks(unit, item, uoff):
-                    yield pa.RecordBatch.from_pydict({"ah": anchor.view(np.int64), "fh": content.view(np.int64), "id": ids[i + r], "th": th[i + r], "at": at.astype(np.int32), "size": size.astype(np.int32)})
+                    new = np.ones(len(r), bool)
+                    new[1:] = (r[1:] != r[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (at[1:] != at[:-1] + size[:-1] - unit.length + 1)
+                    f = np.flatnonzero(new)
+                    reps = np.diff(np.append(f, len(r)))
+                    yield pa.RecordBatch.from_pydict({"ah": anchor[f].view(np.int64), "fh": content[f].view(np.int64), "id": ids[i + r[f]], "th": th[i + r[f]], "at": at[f].astype(np.int32), "size": size[f].astype(np.int32), "reps": reps.astype(np.int32)})
 
-    return keys.mapInArrow(run, "ah bigint, fh bigint, id bigint, th int, at int, size int")
+    return keys.mapInArrow(run, "ah bigint, fh bigint, id bigint, th int, at int, size int, reps int")
 
 
 def id_filter(ids: DataFrame) -> "np.ndarray":
@@ -288,20 +296,15 @@ def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool,
     keys = keyed(docs, id_col, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("ah")
-    many = occurrences(keys, unit).repartition(n, "ah").withColumn("tot", F.count("*").over(w))
+    many = occurrences(keys, unit).repartition(n, "ah").withColumn("tot", F.sum("reps").over(w))
     many = many.withColumn("single", F.min("fh").over(w) == F.max("fh").over(w)).where("tot > 1").drop("tot")
     many = table(many, "fragments")
     classes = many.groupBy("ah", "fh").agg(
-        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "th", "at", "size")).alias("rep"), F.first("single").alias("single")
+        F.sum("reps").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "th", "at", "size")).alias("rep"), F.first("single").alias("single")
     )
     classes = table(classes, "classes")
     search_in = classes.where("not single")
-    if by_count:
-        whole = classes.where("n > 1")
-        search_in = search_in.withColumn("open", F.col("n") == 1)
-    else:
-        whole = classes.where("low < high")
-        search_in = search_in.withColumn("open", F.lit(True))
+    whole = classes.where("n > 1" if by_count else "low < high")
     search_in = search_in.withColumn("nc", F.count("*").over(Window.partitionBy("ah")))
     wanted = search_in.select("ah", "fh", "n", "low", "rep.*", (F.col("nc") > unit.most_classes).alias("large"))
     wanted = table(pieces(keys, wanted, unit), "pieces")
@@ -314,14 +317,16 @@ def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool,
     runs = runs.groupBy("ah", "fh", "run").agg(F.min("place").alias("first"), F.max("place").alias("last")).drop("run")
     found = table(found.unionByName(runs), "runs")
     # back to the documents
-    part = found.join(many.select("ah", "fh", "id", "th", "at"), ["ah", "fh"])
+    # equal fragments in a row overlap by more than a window's length, so their ranges are one
+    more = (F.col("reps") - 1) * (F.col("size") - unit.length + 1)
+    part = found.join(many, ["ah", "fh"])
     if not by_count:  # in later documents than the class's first all windows repeat
         part = part.join(classes.select("ah", "fh", "low"), ["ah", "fh"]).where("id = low")
-    part = part.select("id", "th", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + unit.length).alias("end"))
+    part = part.select("id", "th", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + more + F.col("last") + unit.length).alias("end"))
     all_of = many.join(whole.select("ah", "fh", F.col("low").alias("lowest")), ["ah", "fh"])
     if not by_count:
         all_of = all_of.where("id > lowest")
-    all_of = all_of.select("id", "th", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
+    all_of = all_of.select("id", "th", F.col("at").alias("start"), (F.col("at") + more + F.col("size")).alias("end"))
     ranges = part.unionByName(all_of).groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return table(ranges, "ranges")
 
