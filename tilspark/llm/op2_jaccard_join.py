@@ -10,7 +10,9 @@ A document's set: the hashes of its distinct ``n``-word shingles.
    at its position make a range, and the best position bound in that range tells at once whether the
    whole block can be skipped; entries without any possible partner leave.
 4. *Groups.*  In each list, the set that shares the most with others is the pivot, and every
-   candidate pair of the list lies in its group.  A group of more than ``tile_tokens`` shingles is
+   candidate pair of the list lies in its group.  Before any set is sent, a group is held together
+   by fixed-size parity bitmaps: bits in which two differ are a lower bound of the shingles in which
+   the sets differ, so a set that is too far from all others of its group leaves it.  A group of more than ``tile_tokens`` shingles is
    cut into blocks, each pair of which is a task's work, so no group grows past a task.
 5. *Answers.*  A group keeps lists from shingle to rows.  The overlaps of the pivot with all rows are
    counted from its lists; those of a set similar to it are derived from the pivot's by the lists of
@@ -73,7 +75,7 @@ def sets_of(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def shingle_sets(keys: DataFrame, j: Join) -> DataFrame:
-    """``id, th, size, d1, d2``: size and digest of each document's set."""
+    """``id, th, size, d1, d2, bits``: size, digest and bitmap of each document's set."""
 
     def run(batches):
         for batch in batches:
@@ -84,9 +86,9 @@ def shingle_sets(keys: DataFrame, j: Join) -> DataFrame:
                     c = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(x, out=c[1:])
                     sums.append((c[hoff[1:]] - c[hoff[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_pydict({"id": A.column(batch, "id").slice(i, k - i), "th": A.column(batch, "th").slice(i, k - i), "size": np.diff(hoff), "d1": sums[0], "d2": sums[1]})
+                yield pa.RecordBatch.from_pydict({"id": A.column(batch, "id").slice(i, k - i), "th": A.column(batch, "th").slice(i, k - i), "size": np.diff(hoff), "d1": sums[0], "d2": sums[1], "bits": pa.array(bitmaps(h, hoff), pa.binary())})
 
-    return keys.mapInArrow(run, "id bigint, th int, size bigint, d1 bigint, d2 bigint")
+    return keys.mapInArrow(run, "id bigint, th int, size bigint, d1 bigint, d2 bigint, bits binary")
 
 
 def shingle_counts(keys: DataFrame, j: Join) -> np.ndarray:
@@ -100,7 +102,8 @@ def shingle_counts(keys: DataFrame, j: Join) -> np.ndarray:
                 total += np.bincount((h & A.U(j.slots - 1)).astype(np.int64), minlength=j.slots)
         parts = total.reshape(-1, 1024)
         for k in range(0, len(parts), 128):
-            yield pa.RecordBatch.from_pydict({"part": np.arange(k, k + 128, dtype=np.int32), "counts": [p.astype("<u8").tobytes() for p in parts[k : k + 128]]})
+            some = parts[k : k + 128]
+            yield pa.RecordBatch.from_pydict({"part": np.arange(k, k + len(some), dtype=np.int32), "counts": [p.astype("<u8").tobytes() for p in some]})
 
     def add(batches):
         part, total = None, None
@@ -150,6 +153,46 @@ def prefixes(keys: DataFrame, counts, j: Join) -> DataFrame:
     return keys.mapInArrow(run, "token bigint, id bigint, size int, pos int")
 
 
+BITS = 1024  # of a set's bitmap
+
+
+def bitmaps(h: np.ndarray, hoff: np.ndarray) -> list[bytes]:
+    """For each set: in each bit, whether an odd number of its shingles falls there."""
+    out: list[bytes] = []
+    slot = ((h >> A.U(20)) & A.U(BITS - 1)).astype(np.int64)
+    for a in range(0, len(hoff) - 1, 4096):
+        b = min(a + 4096, len(hoff) - 1)
+        row = A.rows_of(hoff[a : b + 1])
+        n = np.bincount(row * BITS + slot[hoff[a] : hoff[b]], minlength=(b - a) * BITS)
+        out += [x.tobytes() for x in np.packbits((n & 1).astype(bool).reshape(b - a, BITS), axis=1)]
+    return out
+
+
+#: a group of more sets goes on without a look at its bitmaps
+BITMAP_ROWS = 1 << 15
+
+
+def may_link(size: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a group may link to another one, by sizes and bitmaps."""
+    m = len(size)
+    if m > BITMAP_ROWS:
+        return np.ones(m, bool)
+    words = bits.reshape(m, -1).view(np.uint64)
+    out = np.zeros(m, bool)
+    step = max(1, (1 << 19) // m)
+    for a in range(0, m, step):
+        both = size[a : a + step, None] + size[None, :]
+        # of intersection * (100 + percent) >= percent * both, the least intersection
+        most = both - 2 * (-(-percent * both // (100 + percent)))
+        far = np.zeros(both.shape, np.int64)
+        for w in range(words.shape[1]):
+            far += np.bitwise_count(words[a : a + step, None, w] ^ words[None, :, w])
+        ok = far <= most
+        ok[np.arange(len(ok)), a + np.arange(len(ok))] = False
+        out[a : a + step] = ok.any(axis=1)
+    return out
+
+
 LIST_ROWS = 1 << 21  # entries of lists that a task looks at together
 
 
@@ -342,12 +385,46 @@ def representatives(keys: DataFrame, classes: DataFrame, sets: DataFrame) -> Dat
     return _split(keys, bits, False).unionByName(maybe)
 
 
-def group_members(alive: DataFrame, j: Join) -> DataFrame:
+def near_members(members: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
+    """``pivot, id, size`` of the members that may link within their group."""
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            if len(held) < 2:
+                return None
+            ids, size = np.array([x[0] for x in held]), np.array([x[1] for x in held], np.int64)
+            keep = may_link(size, np.frombuffer(b"".join(x[2] for x in held), np.uint8), j.percent)
+            return (np.full(int(keep.sum()), key), ids[keep], size[keep].astype(np.int32)) if keep.any() else None
+
+        out: list = []
+        for batch in batches:
+            for p, i, n, b in zip(*(A.column(batch, c).to_pylist() for c in ("pivot", "id", "size", "bits"))):
+                if p != key:
+                    out.append(done())
+                    key, held = p, []
+                held.append((i, n, b))
+            out = [x for x in out if x]
+            if out:
+                yield pa.RecordBatch.from_pydict({n: np.concatenate([x[k] for x in out]) for k, n in enumerate(("pivot", "id", "size"))})
+            out = []
+        if (x := done()) is not None:
+            yield pa.RecordBatch.from_pydict(dict(zip(("pivot", "id", "size"), x)))
+
+    p = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an id with several texts has a bitmap for each: its sets are looked at one by one
+    known = sets.select("id", F.col("size").cast("int").alias("size"), "bits")
+    rows = members.select("pivot", "id").join(known, "id").repartition(p, "pivot").sortWithinPartitions("pivot")
+    return rows.mapInArrow(run, "pivot bigint, id bigint, size int").groupBy("pivot", "id").agg(F.sum("size").alias("size"))
+
+
+def group_members(alive: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     """``pivot, id, blocks, block``: each list's sets under the list's pivot, once for each pivot."""
     score = alive.groupBy("id").agg((F.sum("len") / F.max("size")).alias("score"))
     pivots = alive.select("token", "id").join(score, "id").groupBy("token").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("pivot"))
     members = alive.select("token", "id", "size").join(pivots, "token").groupBy("pivot", "id").agg(F.max("size").alias("size"))
-    members = table(members, "members")
+    members = table(near_members(members, sets, j), "members")
     total = members.groupBy("pivot").agg(F.sum("size").alias("total"))
     blocks = F.ceil(F.col("total") / j.tile_tokens).cast("int")
     members = members.join(total, "pivot").withColumn("blocks", blocks)
@@ -364,7 +441,7 @@ def jaccard_components(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_
     counts = keys.sparkSession.sparkContext.broadcast(shingle_counts(keys, j))
     reps = representatives(keys.where(F.col("id") != NO_ID), classes, real)
     alive = table(lists(prefixes(reps, counts, j), j), "lists")
-    links = group_links(group_members(alive, j), keys, j)
+    links = group_links(group_members(alive, real, j), keys, j)
     rep = sets.join(classes.where("n > 1").select("size", "d1", "d2", "rep"), ["size", "d1", "d2"], "left").select("id", "th", "size", F.coalesce("rep", "id").alias("rep"))
     # an id with several texts joins their classes
     several = rep.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
