@@ -11,7 +11,7 @@ A document's set: the hashes of its distinct ``n``-word shingles.
    whole block can be skipped; entries without any possible partner leave.
 4. *Groups.*  In each list, the set that shares the most with others is the pivot, and every
    candidate pair of the list lies in its group.  Before any set is sent, a group is held together
-   by fixed-size parity bitmaps: bits in which two differ are a lower bound of the shingles in which
+   by parity bitmaps: bits in which two differ are a lower bound of the shingles in which
    the sets differ, so a set that is too far from all others of its group leaves it.  A group of more than ``tile_tokens`` shingles is
    cut into blocks, each pair of which is a task's work, so no group grows past a task.
 5. *Answers.*  A group keeps lists from shingle to rows.  The overlaps of the pivot with all rows are
@@ -153,18 +153,19 @@ def prefixes(keys: DataFrame, counts, j: Join) -> DataFrame:
     return keys.mapInArrow(run, "token bigint, id bigint, size int, pos int")
 
 
-BITS = 1024  # of a set's bitmap
+LEAST_BITS, MOST_BITS = 512, 1 << 17  # of a set's bitmap
 
 
 def bitmaps(h: np.ndarray, hoff: np.ndarray) -> list[bytes]:
-    """For each set: in each bit, whether an odd number of its shingles falls there."""
+    """For each set: in each bit, whether an odd number of its shingles falls there.  A bitmap has two
+    to four bits for each shingle, a thirtieth of the set; folding its halves gives a shorter one."""
     out: list[bytes] = []
-    slot = ((h >> A.U(20)) & A.U(BITS - 1)).astype(np.int64)
-    for a in range(0, len(hoff) - 1, 4096):
-        b = min(a + 4096, len(hoff) - 1)
-        row = A.rows_of(hoff[a : b + 1])
-        n = np.bincount(row * BITS + slot[hoff[a] : hoff[b]], minlength=(b - a) * BITS)
-        out += [x.tobytes() for x in np.packbits((n & 1).astype(bool).reshape(b - a, BITS), axis=1)]
+    slot = (h >> A.U(20)).astype(np.int64)
+    for k in range(len(hoff) - 1):
+        a, b = hoff[k], hoff[k + 1]
+        n = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * int(b - a) - 1).bit_length() if b > a else 0))
+        odd = np.bincount(slot[a:b] & (n - 1), minlength=n) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
     return out
 
 
@@ -172,24 +173,41 @@ def bitmaps(h: np.ndarray, hoff: np.ndarray) -> list[bytes]:
 BITMAP_ROWS = 1 << 15
 
 
-def may_link(size: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of a group may link to another one, by sizes and bitmaps."""
+def _fold(bits: bytes, length: int) -> np.ndarray:
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > length:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def may_link(size: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a group may link to another one, by sizes and bitmaps.
+
+    Sets are compared at the length of the shorter bitmap, so by classes of lengths.
+    """
     m = len(size)
     if m > BITMAP_ROWS:
         return np.ones(m, bool)
-    words = bits.reshape(m, -1).view(np.uint64)
     out = np.zeros(m, bool)
-    step = max(1, (1 << 19) // m)
-    for a in range(0, m, step):
-        both = size[a : a + step, None] + size[None, :]
-        # of intersection * (100 + percent) >= percent * both, the least intersection
-        most = both - 2 * (-(-percent * both // (100 + percent)))
-        far = np.zeros(both.shape, np.int64)
-        for w in range(words.shape[1]):
-            far += np.bitwise_count(words[a : a + step, None, w] ^ words[None, :, w])
-        ok = far <= most
-        ok[np.arange(len(ok)), a + np.arange(len(ok))] = False
-        out[a : a + step] = ok.any(axis=1)
+    length = np.array([len(b) for b in bits])
+    for n in np.unique(length).tolist():
+        small = np.flatnonzero(length == n)
+        # of twice the length or more: what may link with these sizes at all
+        far_size = int(size[small].max()) * 100 // percent
+        every = np.concatenate([small, np.flatnonzero((length > n) & (size <= far_size))])
+        words = np.stack([_fold(bits[i], n) for i in every]).view(np.uint64)
+        step = max(1, (1 << 19) // len(every))
+        for a in range(0, len(small), step):
+            rows = small[a : a + step]
+            both = size[rows, None] + size[None, every]
+            # of intersection * (100 + percent) >= percent * both, the least intersection
+            most = both - 2 * (-(-percent * both // (100 + percent)))
+            far = np.zeros(both.shape, np.int64)
+            for w in range(words.shape[1]):
+                far += np.bitwise_count(words[a : a + step, None, w] ^ words[None, :, w])
+            ok = (far <= most) & (rows[:, None] != every[None, :])
+            out[rows] |= ok.any(axis=1)
+            out[every] |= ok.any(axis=0)
     return out
 
 
@@ -395,7 +413,7 @@ def near_members(members: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
             if len(held) < 2:
                 return None
             ids, size = np.array([x[0] for x in held]), np.array([x[1] for x in held], np.int64)
-            keep = may_link(size, np.frombuffer(b"".join(x[2] for x in held), np.uint8), j.percent)
+            keep = may_link(size, [x[2] for x in held], j.percent)
             return (np.full(int(keep.sum()), key), ids[keep], size[keep].astype(np.int32)) if keep.any() else None
 
         out: list = []
