@@ -133,3 +133,18 @@ def test_deep_and_wild_pages_do_not_break():
     deep = "<div>" * 3000 + "core of the page" + "</div>" * 3000
     assert H.extract(H.parse(deep), [])[0] == "core of the page"
     assert html.unescape("&amp;") == "&"
+
+
+def test_bitmaps_lose_no_link_between_sets_of_any_size():
+    from tilspark.llm import op2_jaccard_join as J
+
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 5, 240, 260, 300, 900, 1100)]
+    sets = [b[: max(1, int(len(b) * k))] for b in base for k in (1, 0.97, 0.8, 0.5)]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bits = J.bitmaps(np.concatenate(sets), off)
+    assert len({len(b) for b in bits}) > 2
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    want = [any(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = J.may_link(np.diff(off), bits, 80)
+    assert all(g or not w for g, w in zip(got, want)) and got.sum() < len(sets)

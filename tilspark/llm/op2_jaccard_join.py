@@ -204,7 +204,7 @@ def may_link(size: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
             most = both - 2 * (-(-percent * both // (100 + percent)))
             far = np.zeros(both.shape, np.int64)
             for w in range(words.shape[1]):
-                far += np.bitwise_count(words[a : a + step, None, w] ^ words[None, :, w])
+                far += np.bitwise_count(words[a : a + len(rows), None, w] ^ words[None, :, w])
             ok = (far <= most) & (rows[:, None] != every[None, :])
             out[rows] |= ok.any(axis=1)
             out[every] |= ok.any(axis=0)
