@@ -7,7 +7,9 @@ their neighbour graph are of bounded size and are broadcast.
 of distances), which replicates boundary vectors; a list that is larger than ``list_rows`` is dealt
 into as many parts by hash.
 *Search.*  A query walks the centroid graph greedily with a beam, and probes the lists whose
-distance ratio to the nearest is under a limit.  Candidates are measured exactly, in double
+distance ratio to the nearest is under a limit, but never fewer than ``least_probes``: a query on a
+centroid has no distance to take a ratio of.  Queries that come back with fewer than ``k`` answers
+are asked again of eight times as many lists, at last of all.  Candidates are measured exactly, in double
 precision on the original vectors; each list part keeps a query's ``k`` best, and a second
 aggregation the best of all parts.
 
@@ -40,6 +42,7 @@ class Index:
     spread: float = 1.15  # a vector joins lists up to so many times its nearest distance
     replicas: int = 4
     probe_ratio: float = 1.5  # a query probes lists up to so many times its nearest distance
+    least_probes: int = 64  # whatever the ratio
     probes: int = 96
     beam: int = 128
     degree: int = 24
@@ -197,26 +200,40 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
     wanted = table(wanted.join(all_classes.select("cid", "vector"), "vector", "left").select("query_id", "vector", F.coalesce("cid", -F.col("query_id") - 1).alias("cid")), "queries")
     asked = wanted.groupBy("cid").agg(F.first("vector").alias("vector"))
 
-    def route(batches):
-        g = graph.value
-        for batch in batches:
-            x = _matrix(A.column(batch, "vector"))
-            rows_, lists_ = [], []
-            for r in range(len(x)):
-                ids, d = g.search(x[r], index.beam)
-                near = ids[: index.probes][d[: index.probes] <= index.probe_ratio * d[0] + 1e-12]
-                rows_.append(np.full(len(near), r))
-                lists_.append(near)
-            if rows_:
-                taken = batch.take(pa.array(np.concatenate(rows_)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists_).astype(np.int32)), A.column(taken, "cid"), A.column(taken, "vector")], ["list", "cid", "vector"])
-
-    routed = asked.mapInArrow(route, f"list int, cid bigint, {vector}").join(F.broadcast(parts), "list")
-    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def route(wide):
+        """``wide``: None for the graph's search, or how many of the nearest lists to probe."""
+
+        def run(batches):
+            g = graph.value
+            for batch in batches:
+                x = _matrix(A.column(batch, "vector"))
+                # few rows a batch, as a row may go to all lists
+                step = 64 if wide is None else max(1, 65536 // wide)
+                for i in range(0, len(x), step):
+                    rows_, lists_ = [], []
+                    for r in range(i, min(len(x), i + step)):
+                        if wide is None:
+                            ids, d = g.search(x[r], index.beam)
+                            ids, d = ids[: index.probes], d[: index.probes]
+                            near = ids[(d <= index.probe_ratio * d[0] + 1e-12) | (np.arange(len(d)) < index.least_probes)]
+                        else:
+                            near = np.argsort(_near(x[r : r + 1], g.c)[0], kind="stable")[:wide]
+                        rows_.append(np.full(len(near), r))
+                        lists_.append(near)
+                    taken = batch.take(pa.array(np.concatenate(rows_)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists_).astype(np.int32)), A.column(taken, "cid"), A.column(taken, "vector")], ["list", "cid", "vector"])
+
+        return run
+
     held = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    both = held.select("list", "part", F.lit(0).alias("kind"), "cid", "vector", "ids").unionByName(routed.select("list", "part", F.lit(1).alias("kind"), "cid", "vector", F.expr("cast(array() as array<bigint>)").alias("ids")))
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(p, "list", "part").sortWithinPartitions("list", "part", "kind")
+
+    def candidates(some, wide=None):
+        routed = some.mapInArrow(route(wide), f"list int, cid bigint, {vector}").join(F.broadcast(parts), "list")
+        routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = held.select("list", "part", F.lit(0).alias("kind"), "cid", "vector", "ids").unionByName(routed.select("list", "part", F.lit(1).alias("kind"), "cid", "vector", F.expr("cast(array() as array<bigint>)").alias("ids")))
+        dealt = both.repartition(p, "list", "part").sortWithinPartitions("list", "part", "kind")
+        return dealt.mapInArrow(measure, "query bigint, cid bigint, ids array<bigint>, score double")
 
     def measure(batches):
         key, x, cid, ids = None, [], [], []
@@ -258,10 +275,19 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
             if out["query"]:
                 yield pa.RecordBatch.from_arrays([pa.array(out["query"], pa.int64()), pa.array(out["cid"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["score"], pa.float64())], list(out))
 
-    found = dealt.mapInArrow(measure, "query bigint, cid bigint, ids array<bigint>, score double")
-    # the best classes of each query's class, then the rows behind them
-    found = found.groupBy("query", "cid").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "cid"))).where(F.col("r") <= index.k + 1)
+    def best(found):  # classes of each query's class
+        found = found.groupBy("query", "cid").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
+        return found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "cid"))).where(F.col("r") <= index.k + 1).drop("r")
+
+    found, wide = table(best(candidates(asked)), "found"), index.probes
+    while wide < len(centroids):
+        wide *= 8
+        # one of the ids may be the query's own
+        full = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > index.k)
+        short = table(asked.join(full, F.col("cid") == F.col("query"), "left_anti"), "short")
+        if short.isEmpty():
+            break
+        found = table(best(candidates(short, wide).unionByName(found)), "found")
     answers = found.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("best"))
     each = wanted.select("query_id", "cid").join(answers, F.col("cid") == F.col("query")).select("query_id", F.explode("best").alias("b"))
     each = each.select("query_id", F.col("b.score").alias("score"), F.explode("b.ids").alias("vec_id")).where("vec_id <> query_id")
