@@ -108,6 +108,25 @@ def test_op2_dedup_keeps_one_of_each_group(docs, rows):
     assert op2.dedup_documents(docs).columns == docs.columns
 
 
+def test_op2_lists_longer_than_a_task_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # the last entry of list 1 has its partners in the part that went before; list 2 is checked
+    data = [(1, i, 100, 0) for i in range(100)] + [(1, 100, 110, 0), (2, 101, 10, 0), (2, 102, 500, 0)]
+    data += [(3, 200 + i, int(n), int(rng.integers(0, n // 5))) for i, n in enumerate(rng.integers(5, 400, 300))]
+    entries = spark.createDataFrame(data, "token long, id long, size int, pos int")
+    got = lambda: {(r["token"], r["id"]) for r in op2.lists(entries, op2.Join()).collect()}
+    whole = got()
+    assert (1, 100) in whole and (2, 101) not in whole
+    monkeypatch.setattr(op2, "LIST_ROWS", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        parts = got()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole <= parts
+    assert {x for x in parts if x[0] == 1} == {(1, i) for i in range(101)} and (2, 101) not in parts
+
+
 # ------------------------------------------------------------------ op3
 
 

@@ -245,9 +245,12 @@ def lists(entries: DataFrame, j: Join) -> DataFrame:
     def run(batches):
         names = ("token", "id", "size", "pos")
         held: list[dict] = []
+        long = None  # the last list of which a part went on without the check: so does the rest
 
         def out(x):
             keep = _alive(x["token"], x["size"].astype(np.int64), x["pos"].astype(np.int64), j.percent) if len(x["token"]) < 4 * LIST_ROWS else np.ones(len(x["token"]), bool)
+            if long is not None:
+                keep = keep | (x["token"] == long)
             t = x["token"][keep]
             if len(t):
                 _, inverse, n = np.unique(t, return_inverse=True, return_counts=True)
@@ -260,10 +263,13 @@ def lists(entries: DataFrame, j: Join) -> DataFrame:
                 continue
             x = {n: np.concatenate([h[n] for h in held]) for n in names}
             cut = int(np.searchsorted(x["token"], x["token"][-1], "left"))
-            if cut == 0 and len(x["token"]) > 4 * LIST_ROWS:  # a list longer than a task holds: all of it may link
+            whole = cut == 0 and len(x["token"]) > 4 * LIST_ROWS
+            if whole:  # a list longer than a task holds: all of it may link
                 cut = len(x["token"])
             if cut:
                 yield from out({n: x[n][:cut] for n in names})
+            if whole:
+                long = x["token"][-1]
             held = [{n: x[n][cut:] for n in names}]
         if held:
             yield from out({n: np.concatenate([h[n] for h in held]) for n in names})
