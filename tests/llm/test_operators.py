@@ -108,6 +108,19 @@ def test_op2_dedup_keeps_one_of_each_group(docs, rows):
     assert op2.dedup_documents(docs).columns == docs.columns
 
 
+def test_op2_dedup_of_repeated_rows(spark):
+    t, u, far = "a b c d e f g h", "z y x w v u", "one two three four five six seven"
+    data = [(5, t, "s")] * 40 + [(5, u, "s")] * 3 + [(7, t, "s"), (7, far, "s"), (8, u, "s"), (9, None, "s"), (9, None, "s"), (9, None, "r"), (None, t, "s"), (None, t, "s"), (11, "so few", "s"), (11, "so few", "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    h = {r["text"]: r["h"] for r in df.select("text", F.hash("text").alias("h")).distinct().collect()}
+    got = op2.dedup_documents(df)
+    assert got.columns == df.columns
+    rows = sorted(map(tuple, got.collect()), key=str)
+    nine = [r for r in rows if r[0] == 9]
+    assert len(nine) == 1 and nine[0] in [(9, None, "s"), (9, None, "r")]
+    assert [r for r in rows if r[0] != 9] == sorted([(5, min(t, u, key=h.get), "s"), (None, t, "s"), (None, t, "s"), (11, "so few", "s")], key=str)
+
+
 def test_op2_lists_longer_than_a_task_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(3)
     # the last entry of list 1 has its partners in the part that went before; list 2 is checked

@@ -476,11 +476,21 @@ def jaccard_components(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_
 
 
 def dedup_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that have the smallest id of their component, all columns unchanged.  Of rows
-    with one id the first by text hash stays; rows without id all stay."""
+    """One document of each component, that of the smallest id, all columns unchanged.  Of rows with
+    one id the first by text hash stays, and one of equal rows; rows without id all stay."""
     found = jaccard_components(docs, j, id_col=id_col, text_col=text_col)
-    gone = found.where("component < id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    ids = found.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    ids = table(ids.where("component < id OR n > 1").select(F.col("id").alias("_id"), (F.col("component") < F.col("id")).alias("_gone")), "ids")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(ids, F.col(id_col) == F.col("_id"), "left_anti").select(*names)
+    repeated = ids.where("NOT _gone")
+    if repeated.isEmpty():
+        return single
+    # a buffer holds one row, and equal ids are merged before they are sent
+    first = F.struct(F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.col(text_col), F.xxhash64(*names))
+    rows = docs.join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
+    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*names), first).alias("_row"))
+    return single.unionByName(rows.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
