@@ -26,6 +26,11 @@ def texts() -> list[str | None]:
     out += [COMMON, COMMON + " " + COMMON]
     out += ["\n".join([say(8), "A line that Many hold", say(9), "  a LINE that many hold\t", "short", say(3)]) for _ in range(6)]
     out += ["ab " * 500, "ab " * 180, "x" * 700, "x" * 199, "é漢 \U0001f600 " * 60, say(6000), "don't  we'll\n\n '  tis <|endoftext|> 12½ ##$$ é"]
+    # a sequence and its complement: polynomials modulo a power of two take them for equal
+    morse = [bin(k).count("1") % 2 for k in range(1024)]
+    for a, b in (("a", "b"), ("b", "a")):
+        one = "".join((a, b)[k] for k in morse)
+        out += [one, " ".join(("one" + a, "two" + b)[k] for k in morse), f"{one}\n{one[::-1]} {a}\n{one[1:]}"]
     return out
 
 

@@ -222,7 +222,7 @@ def brute_quality(text, r=op4.QualityRules()):
         c = Counter(tuple(w[i : i + m]) for i in range(n - m + 1))
         bad |= 100 * max([k * sum(map(len, g)) for g, k in c.items() if k > 1], default=0) > p * chars
     bad |= 100 * len(dup) > r.max_dup_lines * len(lines) or 100 * sum(len(v) for x in dup for v in WORD.findall(x)) > r.max_dup_line_chars * chars
-    return n, chars, sum(ch in "#*$%&|<>" for ch in text or ""), len(dup), repeat, base, not base and not (n >= r.least_words and bad)
+    return n, chars, sum(ch in "#*$%&|<>" for ch in text or ""), len(dup), repeat, base, not base and not bad
 
 
 def test_op4(docs, rows, none):

@@ -14,6 +14,7 @@ from tilspark.llm import op6_token_counts as C
 from tilspark.llm import op8_byte_bpe as B
 from tilspark.llm import repeats as R
 from tilspark.llm.fm_index import FMIndex
+from tilspark.llm.spans import Cache, SpanTable
 
 ALPHABET = [*" '\"'stmdrevl  \n\t\r é漢字1२½a​\U0001f600́x\x1c\x1f\x85 ", "<|endoftext|>", "'ll", "'re"]
 
@@ -48,6 +49,54 @@ def test_minimal_perfect_hash(bpe):
     assert (found[:500] >= 0).all() and (found[500:] == -1).all()
 
 
+def test_pretokens_of_one_hash_are_held_to_their_bytes(bpe, monkeypatch):
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    own = B.ByteBPE(bpe.ranks, public_tokenizers.PATTERN)
+    monkeypatch.setattr(A, "span_hashes", lambda buf, s, e: (e - s).astype(np.uint64) % np.uint64(3))
+    for texts in (["ab cd ef qqzz", "abcd efgh"], ["ba dc qqzz  fe", "x", "ab"]):
+        buf, off = A.utf8(pa.array(texts))
+        ids, ioff = own.encode(buf, off)
+        assert [ids[a:b].tolist() for a, b in zip(ioff[:-1], ioff[1:])] == [lib.encode_ordinary(t) for t in texts]
+
+
+def test_a_cache_stays_small_and_right(bpe):
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    own = B.ByteBPE(bpe.ranks, public_tokenizers.PATTERN)
+    own.cache = Cache(limit=20_000)
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices("qxzjk", k=6)) for _ in range(60))]
+        buf, off = A.utf8(pa.array(texts))
+        assert own.encode(buf, off)[0].tolist() == lib.encode_ordinary(texts[0])
+        assert own.cache.nbytes <= 20_000
+
+
+def test_long_texts_are_cut_where_pretokens_begin(bpe):
+    from tilspark.llm import pretoken
+
+    rng = random.Random(6)
+    text = "".join(rng.choices(ALPHABET[:-3], k=4000))
+    whole, _ = A.utf8(pa.array([text]))
+    want = pretoken.starts(whole, np.array([0, len(whole)])).tolist()
+    for limit in (40, 300):
+        cuts = pretoken.pieces(whole, limit)
+        assert len(cuts) > 5
+        got = [a + int(s) for a, b in zip(cuts[:-1], cuts[1:]) for s in pretoken.starts(whole[a:b], np.array([0, b - a]))]
+        assert got == want
+
+
+def test_pieces_of_a_long_text_give_its_fragments(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choices(["ab", "cd", "efg", "h"], k=3000))
+    buf, off = A.utf8(pa.array([text]))
+    for unit in (R.byte_unit(40), R.word_unit(20)):
+        windows = lambda found, u=unit: {(int(a) + k, int(h)) for _, at, size, anchor, _ in found for a, n, h in zip(at, size, anchor) for k in range(n - u.length + 1)}
+        want = windows(R._chunks(unit, buf, off))
+        with monkeypatch.context() as m:
+            m.setattr(R, "SLICE_UNITS", 500)
+            assert windows(R._chunks(unit, buf, off)) == want
+
+
 def test_other_patterns_go_through_regex(bpe):
     other = B.ByteBPE(bpe.ranks, r"\s+|\S+")
     lib = tiktoken.Encoding("own", pat_str=r"\s+|\S+", mergeable_ranks=bpe.ranks, special_tokens={})
@@ -61,7 +110,8 @@ def test_token_counts_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     counter, lib = C.Counter(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
     texts = fuzz(4000) + [None]
-    got = [n for _, _, buf, off in A.sliced(pa.array(texts), 1 << 13) for n in counter.count(buf, off, (np.zeros(0, np.uint64), np.zeros(0, np.int32))).tolist()]
+    none = SpanTable.empty()
+    got = [n for k in range(0, len(texts), 500) for n in counter.counts(pa.array(texts[k : k + 500], pa.string()), none).tolist()]
     assert got == [len(e.ids) for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -90,10 +140,9 @@ def test_every_window_is_in_one_fragment_and_equal_windows_share_anchors():
     texts = ["".join(rng.choice(list("ab"), 300)) for _ in range(3)] + ["ab" * 90, "short", ""]
     texts.append(texts[0][50:200])
     buf, off = A.utf8(pa.array(texts))
-    item, uoff = R.items(unit, buf, off)
     anchors: dict[bytes, set] = {}
     seen = []
-    for r, at, size, anchor, _ in zip(*R.fragments(unit, item, uoff)):
+    for r, at, size, anchor, _ in zip(*R.fragments(unit, *R.windows(unit, buf, off))):
         for k in range(size - 39):
             seen.append((r, at + k))
             anchors.setdefault(texts[r].encode()[at + k : at + k + 40], set()).add(anchor)

@@ -60,11 +60,8 @@ def sets_of(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     h, r = full[ok], row[: len(full)][ok]
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        p, q = A.powers("word", len(item) + 1)
-        c = np.zeros(len(item) + 1, np.uint64)
-        np.cumsum(item * p[: len(item)], out=c[1:])
-        a, b = woff[short], woff[short + 1]
-        h = np.concatenate([h, A.mix((c[b] - c[a]) * q[a] + (b - a).astype(np.uint64))])
+        some = np.concatenate([[0], np.cumsum(count[short])])
+        h = np.concatenate([h, A.row_hashes(A.gather(item, woff[short], count[short]), some)])
         r = np.concatenate([r, short])
     order = np.lexsort((h, r))
     h, r = h[order], r[order]
@@ -88,7 +85,7 @@ def shingle_sets(keys: DataFrame, j: Join) -> DataFrame:
                     sums.append((c[hoff[1:]] - c[hoff[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_pydict({"id": A.column(batch, "id").slice(i, k - i), "th": A.column(batch, "th").slice(i, k - i), "size": np.diff(hoff), "d1": sums[0], "d2": sums[1], "bits": pa.array(bitmaps(h, hoff), pa.binary())})
 
-    return keys.mapInArrow(run, "id bigint, th int, size bigint, d1 bigint, d2 bigint, bits binary")
+    return keys.mapInArrow(A.trimmed(run), "id bigint, th int, size bigint, d1 bigint, d2 bigint, bits binary")
 
 
 def shingle_counts(keys: DataFrame, j: Join) -> np.ndarray:
@@ -123,7 +120,7 @@ def shingle_counts(keys: DataFrame, j: Join) -> np.ndarray:
         return np.minimum(255, 8 * np.log2(x.astype(float) + 1)).astype(np.uint8).tobytes()
 
     schema = "part int, counts binary"
-    rows = keys.mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).collect()
+    rows = keys.mapInArrow(A.trimmed(run), schema).repartition("part").sortWithinPartitions("part").mapInArrow(A.trimmed(add), schema).collect()
     out = np.zeros(j.slots, np.uint8)
     for r in rows:
         out[r["part"] * 1024 : (r["part"] + 1) * 1024] = np.frombuffer(r["counts"], np.uint8)
@@ -150,7 +147,7 @@ def prefixes(keys: DataFrame, counts, j: Join) -> DataFrame:
                 keep = pos < (size - need + 1)[row]
                 yield pa.RecordBatch.from_pydict({"token": h[order][keep].view(np.int64), "id": ids[i + row[keep]], "size": size[row[keep]].astype(np.int32), "pos": pos[keep].astype(np.int32)})
 
-    return keys.mapInArrow(run, "token bigint, id bigint, size int, pos int")
+    return keys.mapInArrow(A.trimmed(run), "token bigint, id bigint, size int, pos int")
 
 
 LEAST_BITS, MOST_BITS = 512, 1 << 17  # of a set's bitmap
@@ -270,12 +267,12 @@ def lists(entries: DataFrame, j: Join) -> DataFrame:
                 yield from out({n: x[n][:cut] for n in names})
             if whole:
                 long = x["token"][-1]
-            held = [{n: x[n][cut:] for n in names}]
+            held = [{n: x[n][cut:].copy() for n in names}]
         if held:
             yield from out({n: np.concatenate([h[n] for h in held]) for n in names})
 
     p = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(p, "token").sortWithinPartitions("token", "size").mapInArrow(run, "token bigint, id bigint, len bigint, size int")
+    return entries.repartition(p, "token").sortWithinPartitions("token", "size").mapInArrow(A.trimmed(run), "token bigint, id bigint, len bigint, size int")
 
 
 class Group:
@@ -387,8 +384,8 @@ def group_links(members: DataFrame, keys: DataFrame, j: Join) -> DataFrame:
         yield flush()
 
     p = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = joined.mapInArrow(deal, "pivot bigint, tile int, id bigint, tokens binary")
-    return dealt.repartition(p, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(answer, "a bigint, b bigint")
+    dealt = joined.mapInArrow(A.trimmed(deal), "pivot bigint, tile int, id bigint, tokens binary")
+    return dealt.repartition(p, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(A.trimmed(answer), "a bigint, b bigint")
 
 
 def _split(keys: DataFrame, bits, inside: bool) -> DataFrame:
@@ -398,7 +395,7 @@ def _split(keys: DataFrame, bits, inside: bool) -> DataFrame:
             for i in range(0, len(rows), 256):
                 yield batch.take(pa.array(rows[i : i + 256]))
 
-    return keys.mapInArrow(run, keys.schema)
+    return keys.mapInArrow(A.trimmed(run), keys.schema)
 
 
 def representatives(keys: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -440,7 +437,7 @@ def near_members(members: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     # an id with several texts has a bitmap for each: its sets are looked at one by one
     known = sets.select("id", F.col("size").cast("int").alias("size"), "bits")
     rows = members.select("pivot", "id").join(known, "id").repartition(p, "pivot").sortWithinPartitions("pivot")
-    return rows.mapInArrow(run, "pivot bigint, id bigint, size int").groupBy("pivot", "id").agg(F.sum("size").alias("size"))
+    return rows.mapInArrow(A.trimmed(run), "pivot bigint, id bigint, size int").groupBy("pivot", "id").agg(F.sum("size").alias("size"))
 
 
 def group_members(alive: DataFrame, sets: DataFrame, j: Join) -> DataFrame:

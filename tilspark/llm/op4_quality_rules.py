@@ -1,8 +1,9 @@
 """Quality rules: repetition coverage by rolling hashes of several n-gram lengths.
 
 Every text is one row in and one row out, in numpy over slices of an Arrow batch: no shuffle, and
-memory bounded by the slice.  Null text counts as a text without words; ties cannot occur; repeated
-rows give repeated results; columns besides ``doc_id`` and ``text`` are ignored.
+memory bounded by the slice (a longer text is a slice of its own).  Null text counts as a text
+without words, and fails for want of words; ties cannot occur; repeated rows give repeated results;
+an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ class QualityRules:
     repeated: tuple[tuple[int, int], ...] = ((5, 30), (6, 28), (7, 26), (8, 24), (9, 22), (10, 20))
     max_dup_lines: int = 30
     max_dup_line_chars: int = 20
-    #: shares say little about short texts: the method's verdict needs as many words
-    least_words: int = 50
 
 
+#: words of the windows that the base rule counts
+BASE_WINDOW = 5
+
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, dup_line_chars bigint, max_repeated_pct double, max_top_pct double"
 
 
@@ -59,33 +61,38 @@ def _score(buf: np.ndarray, off: np.ndarray, rules: QualityRules) -> dict[str, n
     row = A.rows_of(woff)
     salt = A.mix(np.arange(n, dtype=np.uint64) + A.U(1))
     end_of_row = woff[1:][row] if len(row) else row
-    n_repeat = np.zeros(n, np.int64)
     repeated_pct, top_pct = np.zeros(n), np.zeros(n)
     failed = np.zeros(n, bool)
-    long_enough = n_words >= rules.least_words
     safe = np.maximum(word_chars, 1)
-    for m, limit in (*rules.top, *rules.repeated):
-        at = np.arange(len(row))[: max(0, len(row) - m + 1)]
+    grams = A.Windows(item)
+
+    def repeats_of(m):
+        at = np.arange(max(0, len(row) - m + 1))
         at = at[at + m <= end_of_row[at]]
-        keys = A.window_hashes(item, m)[at] ^ salt[row[at]]
-        cls, count, first = _repeats(keys)
-        if (m, limit) in rules.repeated:
-            hit = at[count[cls] > 1]
-            inside = A.covered(len(row), hit, hit + m)
-            if m == 5:
-                n_repeat = A.sums(inside, woff)
-            share = 100 * A.sums(lengths * inside, woff)
-            np.maximum(repeated_pct, share / safe, out=repeated_pct)
-        else:
-            c = np.zeros(len(lengths) + 1, np.int64)
-            np.cumsum(lengths, out=c[1:])
-            begin = at[first]
-            weight = np.where(count > 1, count * (c[begin + m] - c[begin]), 0)
-            best = np.zeros(n, np.int64)
-            np.maximum.at(best, row[begin], weight)
-            share = 100 * best
-            np.maximum(top_pct, share / safe, out=top_pct)
-        failed |= long_enough & (share > limit * word_chars)
+        return at, *_repeats(grams.of(m)[at] ^ salt[row[at]])
+
+    def coverage(m):
+        at, cls, count, _ = repeats_of(m)
+        hit = at[count[cls] > 1]
+        return A.covered(len(row), hit, hit + m)
+
+    base_windows = coverage(BASE_WINDOW)
+    n_repeat = A.sums(base_windows, woff)
+    for m, limit in rules.repeated:
+        inside = base_windows if m == BASE_WINDOW else coverage(m)
+        share = 100 * A.sums(lengths * inside, woff)
+        np.maximum(repeated_pct, share / safe, out=repeated_pct)
+        failed |= share > limit * word_chars
+    wc = np.concatenate([[0], np.cumsum(lengths)])
+    for m, limit in rules.top:
+        at, _, count, first = repeats_of(m)
+        begin = at[first]
+        weight = np.where(count > 1, count * (wc[begin + m] - wc[begin]), 0)
+        best = np.zeros(n, np.int64)
+        np.maximum.at(best, row[begin], weight)
+        share = 100 * best
+        np.maximum(top_pct, share / safe, out=top_pct)
+        failed |= share > limit * word_chars
     # lines
     breaks = np.flatnonzero(buf == 10)
     extra = np.searchsorted(breaks, off)
@@ -99,11 +106,10 @@ def _score(buf: np.ndarray, off: np.ndarray, rules: QualityRules) -> dict[str, n
     again = has_word & (first[cls] != np.arange(len(key)))
     loff = np.concatenate([[0], np.cumsum(np.diff(extra) + 1)])
     n_dup_lines = A.sums(again, loff)
-    wc = np.concatenate([[0], np.cumsum(lengths)])
     in_line = wc[np.searchsorted(starts, le)] - wc[np.searchsorted(starts, ls)]
     dup_chars = A.sums(in_line * again, loff)
-    failed |= long_enough & (100 * n_dup_lines > rules.max_dup_lines * A.sums(has_word, loff))
-    failed |= long_enough & (100 * dup_chars > rules.max_dup_line_chars * word_chars)
+    failed |= (100 * n_dup_lines > rules.max_dup_lines * A.sums(has_word, loff))
+    failed |= (100 * dup_chars > rules.max_dup_line_chars * word_chars)
     base = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_words * n_words)
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": A.sums(SYMBOL[buf], off), "n_dup_lines": n_dup_lines,
@@ -121,7 +127,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_c
             for i, j, buf, off in A.sliced(A.column(batch, "text")):
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(i, j - i), **_score(buf, off, rules)})
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(A.trimmed(run), SCHEMA)
 
 
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, text_col: str = "text") -> DataFrame:
@@ -134,7 +140,7 @@ def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, tex
                 yield batch.slice(i, j - i).filter(pa.array(_score(buf, off, rules)["kept"]))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +165,8 @@ ln AS (SELECT doc_id, l, count(*) c, coalesce(list_sum(list_transform(list_filte
 dl AS (SELECT doc_id, sum(c - 1) d, sum(c) nl, sum((c - 1) * ch) ch FROM ln GROUP BY doc_id)
 SELECT b.doc_id, n AS n_words, wc AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d, 0)::BIGINT AS n_dup_lines,
   coalesce(nw, 0)::BIGINT AS n_repeat_words, (n < {r.min_words} OR 100 * coalesce(nw, 0) > {r.max_repeat_words} * n) AS base_failed,
-  NOT (n < {r.min_words} OR 100 * coalesce(nw, 0) > {r.max_repeat_words} * n) AND NOT (n >= {r.least_words} AND (bad.doc_id IS NOT NULL
-  OR 100 * coalesce(d, 0) > {r.max_dup_lines} * coalesce(nl, 0) OR 100 * coalesce(dl.ch, 0) > {r.max_dup_line_chars} * wc)) AS kept
+  NOT (n < {r.min_words} OR 100 * coalesce(nw, 0) > {r.max_repeat_words} * n) AND NOT (bad.doc_id IS NOT NULL
+  OR 100 * coalesce(d, 0) > {r.max_dup_lines} * coalesce(nl, 0) OR 100 * coalesce(dl.ch, 0) > {r.max_dup_line_chars} * wc) AS kept
 FROM b LEFT JOIN (SELECT doc_id, nw FROM cw WHERE m = 5) USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN bad USING (doc_id)"""
 
 

@@ -2,11 +2,16 @@
 
 Tier 1: a minimal perfect hash over the vocabulary resolves every pre-token that is itself a
 token.  Tier 2: the others go through a heap of mergeable pairs over a linked list of bytes; a
-bounded cache per worker keeps their ids.  Texts are independent: one Arrow pass, no shuffle.
-
-Null text counts as empty: no tokens, and the digests of the empty string.  Repeated rows give
-repeated results; columns besides the id and the text are ignored.  The rank file is read on the
-driver and carried to the workers as a broadcast (a vocabulary: 50,256 entries, about 1 MB).
+cache of bounded bytes per worker keeps their ids.  Hashes only find candidates: both tiers, and the
+classes of equal pre-tokens in a slice, are held to the bytes.  Texts are independent: one Arrow
+pass, no shuffle.
+
+Null text counts as empty: no tokens, and the digests of the empty string.  A very long text is
+encoded in parts that begin where a pre-token does, so memory is that of a part and of its ids.
+Null ids come back null.  Repeated rows give repeated results, ties can't occur, an empty table gives
+an empty result; columns besides the id and the text are ignored, whatever their names.  The rank
+file is read on the driver and carried to the workers as a broadcast (a vocabulary: 50,256 entries,
+about 1 MB).
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays as A
 from . import pretoken
-
-CACHE = 3_000_000  # pre-tokens kept by a worker, about 50 bytes each; then the cache starts anew
+from .arrays import gather
+from .spans import Cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,20 +89,10 @@ class MinimalPerfectHash:
         length = ends - starts
         k = np.where(self.lengths[k] == length, k, -1)
         ok = np.flatnonzero(k >= 0)
-        a = gather(buf, starts[ok], length[ok])
-        b = gather(self.data, self.offsets[k[ok]], length[ok])
-        o = np.concatenate([[0], np.cumsum(length[ok])])
-        k[ok[A.sums(a != b, o) > 0]] = -1
+        k[ok[~A.equal_spans(buf, starts[ok], self.data, self.offsets[k[ok]], length[ok])]] = -1
         return k
 
 
-def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The concatenation of data[start : start + length]."""
-    total = int(lengths.sum())
-    before = np.cumsum(lengths) - lengths
-    return data[np.repeat(starts - before, lengths) + np.arange(total)]
-
-
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: always the lowest-ranked pair, leftmost first."""
     n = len(word)
@@ -134,43 +129,6 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Spellings:
-    """A worker's cache: pre-tokens and their ids in flat arrays, found by hash, held to the bytes."""
-
-    def __init__(self):
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.at = np.zeros(0, np.int64)  # entry of each key
-        self.text, self.text_end = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.ids, self.ids_end = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The entry of each byte span, or -1."""
-        if not len(self.keys):
-            return np.full(len(h), -1, np.int64)
-        p = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        k = np.where(self.keys[p] == h, self.at[p], -1)
-        length = ends - starts
-        ok = np.flatnonzero(k >= 0)
-        same = self.text_end[k[ok] + 1] - self.text_end[k[ok]] == length[ok]
-        k[ok[~same]] = -1
-        ok = ok[same]
-        a = gather(buf, starts[ok], length[ok])
-        b = gather(self.text, self.text_end[k[ok]], length[ok])
-        k[ok[A.sums(a != b, np.concatenate([[0], np.cumsum(length[ok])])) > 0]] = -1
-        return k
-
-    def add(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        n = len(self.at)
-        length = ends - starts
-        self.text = np.concatenate([self.text, gather(buf, starts, length)])
-        self.text_end = np.concatenate([self.text_end, self.text_end[-1] + np.cumsum(length)])
-        self.ids = np.concatenate([self.ids, ids])
-        self.ids_end = np.concatenate([self.ids_end, self.ids_end[-1] + np.cumsum(count)])
-        p = np.searchsorted(self.keys, h)  # h is sorted
-        self.keys = np.insert(self.keys, p, h)
-        self.at = np.insert(self.at, p, n + np.arange(len(h)))
-
-
 class ByteBPE:
     """Encoder and decoder of one vocabulary."""
 
@@ -184,7 +142,7 @@ class ByteBPE:
         self.token_offset = np.zeros(top, np.int64)
         self.token_length[self.rank_of] = self.mph.lengths
         self.token_offset[self.rank_of] = self.mph.offsets[:-1]
-        self.cache = Spellings()
+        self.cache = Cache()
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the offsets of each text's ids."""
@@ -199,22 +157,21 @@ class ByteBPE:
         begin[whole] = np.arange(len(whole))
         size = len(whole)
         # tier 2: spelled before by this worker, or now
-        miss = np.flatnonzero(k < 0)
-        c = self.cache.find(buf, s[miss], e[miss], h[miss])
-        known, entry, new = miss[c >= 0], c[c >= 0], miss[c < 0]
-        count[known] = self.cache.ids_end[entry + 1] - self.cache.ids_end[entry]
-        begin[known] = size + np.cumsum(count[known]) - count[known]
-        flat.append(gather(self.cache.ids, self.cache.ids_end[entry], count[known]))
-        size += len(flat[1])
+        new = np.flatnonzero(k < 0)
+        for table in self.cache.tables():
+            c = table.find(buf, s[new], e[new], h[new])
+            known, entry, new = new[c >= 0], c[c >= 0], new[c < 0]
+            count[known] = table.counts(entry)
+            begin[known] = size + np.cumsum(count[known]) - count[known]
+            flat.append(table.values_of(entry))
+            size += len(flat[-1])
         if len(new):
             raw, ranks = buf.tobytes(), self.ranks
             spelled = [merge(raw[a:b], ranks) for a, b in zip(s[new].tolist(), e[new].tolist())]
             count[new] = list(map(len, spelled))
             begin[new] = size + np.cumsum(count[new]) - count[new]
             flat.append(np.fromiter((i for x in spelled for i in x), np.uint32, int(count[new].sum())))
-            if len(self.cache.at) > CACHE:
-                self.cache = Spellings()
-            self.cache.add(buf, s[new], e[new], h[new], flat[2], count[new])
+            self.cache.add(buf, s[new], e[new], h[new], flat[-1], count[new])
         each = count[inverse]
         ids = gather(np.concatenate(flat), begin[inverse], each)
         return ids, np.concatenate([[0], np.cumsum(each)])[poff]
@@ -255,24 +212,31 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
     get = coder(spark, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or pretoken.default_pattern())
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
 
+    def cut(x, at, width):
+        raw = memoryview(x).cast("B") if len(x) else b""
+        return [raw[p * width : q * width] for p, q in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def column(parts):
+        return pa.array([hashlib.sha256(x).hexdigest() for x in parts]) if digests else pa.array([bytes(x) for x in parts], pa.binary())
+
     def run(batches):
         bpe = get()
         for batch in batches:
-            key = A.column(batch, "doc_id")
-            for i, j, buf, off in A.sliced(A.column(batch, "text")):
+            key, held = A.column(batch, "doc_id"), []
+            for i, j, buf, off, last in pretoken.parts(A.column(batch, "text"), bpe.pattern):
                 ids, ioff = bpe.encode(buf, off)
                 out, ooff = bpe.decode(ids, ioff)
-                a, b = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else b"", memoryview(out) if len(out) else b""
-                cut = lambda x, at, w: [x[p * w : q * w] for p, q in zip(at[:-1].tolist(), at[1:].tolist())]
-                parts = [cut(a, ioff, 4), cut(b, ooff, 1)]
-                if digests:
-                    cols = [pa.array([hashlib.sha256(x).hexdigest() for x in p]) for p in parts]
-                else:
-                    cols = [pa.array([bytes(x) for x in p], pa.binary()) for p in parts]
-                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), pa.array(np.diff(ioff)), *cols], names)
+                ids = ids.astype("<u4", copy=False)
+                if held or not last:  # parts of one text
+                    held.append((ids, out))
+                    if not last:
+                        continue
+                    ids, out = (np.concatenate(x) for x in zip(*held))
+                    held, ioff, ooff = [], np.array([0, len(ids)]), np.array([0, len(out)])
+                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), pa.array(np.diff(ioff)), column(cut(ids, ioff, 4)), column(cut(out, ooff, 1))], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, schema)
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(A.trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,13 +111,54 @@ def _starts_by_regex(buf: np.ndarray, off: np.ndarray, pattern: str) -> np.ndarr
 
 
 def pretokens(buf: np.ndarray, off: np.ndarray, pattern: str = KNOWN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens of a slice: their starts, ends and hashes; each occurrence's class; occurrence offsets of the rows."""
+    """Distinct pre-tokens of a slice: their starts, ends and hashes; each occurrence's class; occurrence offsets of the rows.
+
+    Pre-tokens of one hash are held to their bytes; should two differ, both are listed."""
     s = starts(buf, off, pattern)
     e = np.append(s[1:], len(buf)) if len(s) else s
     h = A.span_hashes(buf, s, e)
     uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    length, rep = e - s, s[first][inverse]
+    other = np.flatnonzero(length != length[first][inverse])
+    if not len(other):
+        other = np.flatnonzero(~A.equal_spans(buf, s, buf, rep, length))
+    if len(other):  # equal hashes, other bytes: classes by the bytes themselves
+        raw, seen = buf.tobytes(), {}
+        inverse = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(s.tolist(), e.tolist())), np.int64, len(s))
+        _, first = np.unique(inverse, return_index=True)
+        uniq = h[first]
     return s[first], e[first], uniq, inverse, np.searchsorted(s, off)
 
 
+def pieces(buf: np.ndarray, limit: int) -> np.ndarray:
+    """Offsets that cut one long text into parts of about ``limit`` bytes that can be pre-tokenised by
+    themselves: before a blank or line break that follows a printable ASCII character."""
+    cuts = [0]
+    while len(buf) - cuts[-1] > 2 * limit:
+        at = cuts[-1] + limit
+        while at < len(buf):
+            part = buf[at : at + limit]
+            ok = np.flatnonzero(((part[1:] == 32) | (part[1:] == 10)) & (part[:-1] > 32) & (part[:-1] < 127))
+            if len(ok):
+                break
+            at += limit - 1
+        if at >= len(buf):
+            break
+        cuts.append(at + int(ok[0]) + 1)
+    return np.array([*cuts, len(buf)], np.int64)
+
+
+def parts(arr, pattern: str = KNOWN):
+    """``arrays.sliced`` with a long text in parts: (first row, end row, bytes, offsets of the parts,
+    last); a text goes on in the next slice until ``last``."""
+    for i, j, buf, off in A.sliced(arr):
+        if j - i > 1 or len(buf) <= 4 * A.SLICE_BYTES or pattern != KNOWN:
+            yield i, j, buf, off, True
+            continue
+        cuts = pieces(buf, A.SLICE_BYTES)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield i, j, buf[a:b], np.array([0, b - a], np.int64), b == len(buf)
+
+
 def default_pattern() -> str:
     return public_tokenizers.PATTERN

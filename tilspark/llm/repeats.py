@@ -62,12 +62,27 @@ def word_unit(length: int) -> Unit:
     return Unit("word", length, max(1, length // 6), A.words, shard_units=1 << 17)
 
 
-def items(unit: Unit, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each unit, and the unit offsets of the rows."""
+class _ByteWindows(A.Windows):
+    """Windows of bytes: eight of them are their own hash, so shorter levels are not needed."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        self.levels = [A.BYTE[buf[:0]], None, None, A.mix(A.eights(buf)[: max(0, n - 7)])]
+        self.buf = buf
+
+    def of(self, m: int, salt: int = 0) -> np.ndarray:
+        if m >= 8:
+            self.levels[0] = self.buf  # for its length
+            return super().of(m, salt)
+        return A.Windows(A.BYTE[self.buf]).of(m, salt)
+
+
+def windows(unit: Unit, buf: np.ndarray, off: np.ndarray) -> tuple[A.Windows, int, np.ndarray]:
+    """Hashes of the windows of all units, the number of units, and the unit offsets of the rows."""
     if unit.name == "byte":
-        return A.BYTE[buf], off
+        return _ByteWindows(buf), len(buf), off
     s, e, uoff = A.words(buf, off)
-    return A.span_hashes(buf, s, e), uoff
+    return A.Windows(A.span_hashes(buf, s, e)), len(s), uoff
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -83,13 +98,12 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return (best & np.uint64(2**_POSITION - 1)).astype(np.int64)
 
 
-def fragments(unit: Unit, item: np.ndarray, uoff: np.ndarray) -> tuple[np.ndarray, ...]:
+def fragments(unit: Unit, hashes: A.Windows, n: int, uoff: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, first unit in the row, number of units, anchor hash and content hash of each fragment."""
     length, gram = unit.length, unit.gram
-    n = len(item)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    grams = A.window_hashes(item, gram, 11)
+    grams = hashes.of(gram, 11)
     anchor = sliding_argmin(grams, length - gram + 1)
     row = A.rows_of(uoff)
     ends = uoff[1:][row[: n - length + 1]]
@@ -100,26 +114,30 @@ def fragments(unit: Unit, item: np.ndarray, uoff: np.ndarray) -> tuple[np.ndarra
     f = np.flatnonzero(first)
     begin = ok[f]
     last = ok[np.append(f[1:], len(ok)) - 1] if len(f) else begin
-    end = last + length
-    p, q = A.powers("word", n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(item * p[:n], out=c[1:])
-    # length is part of the content hash
-    content = A.mix((c[end] - c[begin]) * q[begin] + (end - begin).astype(np.uint64) * A.U(0x9E3779B97F4A7C15))
+    # all windows hold the anchor, so the first and the last one overlap: they are the whole content
+    whole = hashes.of(length, 29)
+    size = last + length - begin
+    content = A.mix(A.fold(A.fold(whole[begin], whole[last]), size.astype(np.uint64)))
     r = row[begin]
-    return r, begin - uoff[r], end - begin, grams[a[f]], content
+    return r, begin - uoff[r], size, grams[a[f]], content
 
 
-def _chunks(unit: Unit, item: np.ndarray, uoff: np.ndarray):
+def _chunks(unit: Unit, buf: np.ndarray, off: np.ndarray):
     """``fragments``, a long row piece by piece: pieces overlap by length - 1 units."""
-    if len(item) <= 16 * SLICE_UNITS:
-        yield fragments(unit, item, uoff)
+    if len(buf) <= 4 * SLICE_UNITS:
+        yield fragments(unit, *windows(unit, buf, off))
         return
+    if unit.name == "byte":
+        item, uoff = None, off
+    else:
+        s, e, uoff = A.words(buf, off)
+        item = A.span_hashes(buf, s, e)
     for k in range(len(uoff) - 1):  # a slice of this size is one row
         a, b = int(uoff[k]), int(uoff[k + 1])
-        for s in range(a, max(a + 1, b - unit.length + 1), 8 * SLICE_UNITS):
-            e = min(b, s + 8 * SLICE_UNITS + unit.length - 1)
-            r, begin, size, anchor, content = fragments(unit, item[s:e], np.array([0, e - s]))
+        for s in range(a, max(a + 1, b - unit.length + 1), SLICE_UNITS):
+            e = min(b, s + SLICE_UNITS + unit.length - 1)
+            hashes = _ByteWindows(buf[s:e]) if item is None else A.Windows(item[s:e])
+            r, begin, size, anchor, content = fragments(unit, hashes, e - s, np.array([0, e - s]))
             yield r + k, begin + (s - a), size, anchor, content
 
 
@@ -129,40 +147,96 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
 
 
-def occurrences(keys: DataFrame, unit: Unit) -> DataFrame:
-    """All fragments of all documents: ``ah, fh, id, th, at, size, reps``.
+def _occurrences(unit: Unit, batches):
+    """Anchor, content, row's id and text hash, first unit, size and repetitions of all fragments.
 
     In periodic text equal fragments follow each other, each where the windows of the one before
     end; such a row stands for ``reps`` of them, so a filler that a text repeats is one row.
     """
+    for batch in batches:
+        ids, th = A.column(batch, "id").to_numpy(), A.column(batch, "th").to_numpy()
+        for i, _, buf, off in A.sliced(A.column(batch, "text"), SLICE_UNITS):
+            for r, at, size, anchor, content in _chunks(unit, buf, off):
+                new = np.ones(len(r), bool)
+                new[1:] = (r[1:] != r[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (at[1:] != at[:-1] + size[:-1] - unit.length + 1)
+                f = np.flatnonzero(new)
+                yield anchor[f], content[f], ids[i + r[f]], th[i + r[f]], at[f], size[f], np.diff(np.append(f, len(r)))
+
+
+def hot_anchors(keys: DataFrame, unit: Unit, *, sample_docs: int = 2000, least: int = 12) -> np.ndarray:
+    """Anchors that occur ``least`` times or more in a sample of about ``sample_docs`` documents,
+    drawn by hash; sorted.  They are only dealt out otherwise: the answer doesn't depend on them.
+    There are fewer than the sample's fragments over ``least``."""
 
     def run(batches):
-        for batch in batches:
-            ids, th = A.column(batch, "id").to_numpy(), A.column(batch, "th").to_numpy()
-            for i, _, buf, off in A.sliced(A.column(batch, "text"), SLICE_UNITS):
-                item, uoff = items(unit, buf, off)
-                for r, at, size, anchor, content in _chunks(unit, item, uoff):
-                    new = np.ones(len(r), bool)
-                    new[1:] = (r[1:] != r[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (at[1:] != at[:-1] + size[:-1] - unit.length + 1)
-                    f = np.flatnonzero(new)
-                    reps = np.diff(np.append(f, len(r)))
-                    yield pa.RecordBatch.from_pydict({"ah": anchor[f].view(np.int64), "fh": content[f].view(np.int64), "id": ids[i + r[f]], "th": th[i + r[f]], "at": at[f].astype(np.int32), "size": size[f].astype(np.int32), "reps": reps.astype(np.int32)})
+        for anchor, *_, reps in _occurrences(unit, batches):
+            yield pa.RecordBatch.from_pydict({"ah": anchor.view(np.int64), "reps": reps.astype(np.int32)})
+
+    share = min(1.0, sample_docs / max(1, keys.count()))
+    some = keys.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # rows, not repetitions: a filler that one text repeats is one row
+    rows = some.mapInArrow(A.trimmed(run), "ah bigint, reps int").groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("ah").collect()
+    return np.sort(np.array([r["ah"] for r in rows], np.int64))
 
-    return keys.mapInArrow(run, "ah bigint, fh bigint, id bigint, th int, at int, size int, reps int")
+
+def occurrences(keys: DataFrame, unit: Unit, hot: np.ndarray, parts: int) -> DataFrame:
+    """All fragments of all documents: ``part, hot, ah, fh, id, th, at, size, reps``.  An anchor has one
+    part, a hot one as many as it has documents."""
+    sent = keys.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        known = sent.value
+        for anchor, content, ids, th, at, size, reps in _occurrences(unit, batches):
+            ah = anchor.view(np.int64)
+            k = np.minimum(np.searchsorted(known, ah), max(0, len(known) - 1))
+            is_hot = known[k] == ah if len(known) else np.zeros(len(ah), bool)
+            spread = np.where(is_hot, A.mix(ids.view(np.uint64) + A.U(1)), A.U(0))
+            part = (A.mix(anchor ^ spread) % A.U(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"part": part, "hot": is_hot, "ah": ah, "fh": content.view(np.int64), "id": ids, "th": th, "at": at.astype(np.int32), "size": size.astype(np.int32), "reps": reps.astype(np.int32)})
+
+    return keys.mapInArrow(A.trimmed(run), "part int, hot boolean, ah bigint, fh bigint, id bigint, th int, at int, size int, reps int")
 
 
 def id_filter(ids: DataFrame) -> "np.ndarray":
-    """A bitmap of the ids modulo FILTER_BITS: 4 MB, whatever the number of ids."""
-    slot = F.pmod(F.col("id"), F.lit(FILTER_BITS))
-    parts = ids.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()
+    """A bitmap of the hashes of the ids, of FILTER_BITS: 4 MB, whatever the number of ids."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_slots(A.column(batch, "id").to_numpy())] = True
+        packed = np.packbits(bits, bitorder="little").reshape(-1, 4096)
+        some = np.flatnonzero(packed.any(axis=1))
+        for k in range(0, len(some), 64):
+            yield pa.RecordBatch.from_pydict({"k": some[k : k + 64].astype(np.int32), "bits": pa.array([packed[x].tobytes() for x in some[k : k + 64]], pa.binary())})
+
+    def add(batches):
+        at, bits = None, None
+        for batch in batches:
+            for k, b in zip(A.column(batch, "k").to_pylist(), A.column(batch, "bits").to_pylist()):
+                x = np.frombuffer(b, np.uint8)
+                if k == at:
+                    bits = bits | x
+                    continue
+                if at is not None:
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([at], pa.int32()), "bits": [bits.tobytes()]})
+                at, bits = k, x
+        if at is not None:
+            yield pa.RecordBatch.from_pydict({"k": pa.array([at], pa.int32()), "bits": [bits.tobytes()]})
+
+    schema = "k int, bits binary"
+    parts = ids.select("id").mapInArrow(A.trimmed(run), schema).repartition("k").sortWithinPartitions("k").mapInArrow(add, schema).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (A.mix(ids.view(np.uint64) + A.U(0x632BE59BD9B4E019)) % A.U(FILTER_BITS)).astype(np.int64)
+
+
 def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = ids % FILTER_BITS
+    slot = _slots(ids)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -176,7 +250,7 @@ def only(keys: DataFrame, ids: DataFrame) -> DataFrame:
             for i in range(0, len(hit), 256):
                 yield batch.take(pa.array(hit[i : i + 256]))
 
-    return keys.mapInArrow(run, keys.schema)
+    return keys.mapInArrow(A.trimmed(run), keys.schema)
 
 
 def pieces(keys: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
@@ -203,7 +277,7 @@ def pieces(keys: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 part = flat.slice(int(woff[i]), len(w))
                 yield pa.RecordBatch.from_arrays([*[A.column(part, n) for n in names], pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())], [*names, "piece"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(A.trimmed(run), schema)
 
 
 def _shards(batches, unit: Unit):
@@ -235,8 +309,8 @@ def _windows(unit: Unit, buf: np.ndarray, off: np.ndarray):
     if unit.name == "byte":
         symbols, uoff = buf.astype(np.int64) + 1, off
     else:
-        item, uoff = items(unit, buf, off)
-        symbols = np.unique(item, return_inverse=True)[1].astype(np.int64) + 1
+        s, e, uoff = A.words(buf, off)
+        symbols = np.unique(A.span_hashes(buf, s, e), return_inverse=True)[1].astype(np.int64) + 1
     n = np.diff(uoff)
     text = np.zeros(len(symbols) + len(n), np.int64)
     begin = uoff[:-1] + np.arange(len(n))
@@ -266,7 +340,7 @@ def search(unit: Unit, find: Callable, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"ah": columns["ah"][frag[f]], "fh": columns["fh"][frag[f]], "first": place[f].astype(np.int32), "last": place[last].astype(np.int32)})
 
     n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(run, "ah bigint, fh bigint, first int, last int")
+    return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(A.trimmed(run), "ah bigint, fh bigint, first int, last int")
 
 
 def window_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
@@ -276,15 +350,15 @@ def window_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             piece = A.column(batch, "piece").cast(pa.large_binary()).view(pa.large_string())
             for i, _, buf, off in A.sliced(piece, 1 << 18):
-                item, uoff = items(unit, buf, off)
-                wh = A.window_hashes(item, unit.length, 23)
+                hashes, _, uoff = windows(unit, buf, off)
+                wh = hashes.of(unit.length, 23)
                 n = np.maximum(np.diff(uoff) - unit.length + 1, 0)
                 frag = np.repeat(np.arange(len(n)), n)
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 cols = {c: A.column(batch, c).to_numpy()[i:][frag] for c in ("ah", "fh", "n", "low")}
                 yield pa.RecordBatch.from_pydict({**cols, "place": place.astype(np.int32), "wh": wh[uoff[:-1][frag] + place].view(np.int64)})
 
-    return wanted.mapInArrow(run, "ah bigint, fh bigint, n bigint, low bigint, place int, wh bigint")
+    return wanted.mapInArrow(A.trimmed(run), "ah bigint, fh bigint, n bigint, low bigint, place int, wh bigint")
 
 
 def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool, *, id_col: str, text_col: str) -> DataFrame:
@@ -295,18 +369,24 @@ def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool,
     """
     keys = keyed(docs, id_col, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = Window.partitionBy("ah")
-    many = occurrences(keys, unit).repartition(n, "ah").withColumn("tot", F.sum("reps").over(w))
-    many = many.withColumn("single", F.min("fh").over(w) == F.max("fh").over(w)).where("tot > 1").drop("tot")
-    many = table(many, "fragments")
+    w = Window.partitionBy("part", "ah")  # as dealt: no further shuffle
+    many = occurrences(keys, unit, hot_anchors(keys, unit), n).repartitionById(n, "part").withColumn("tot", F.sum("reps").over(w))
+    many = many.withColumn("single", F.min("fh").over(w) == F.max("fh").over(w)).where("tot > 1 OR hot")
+    many = table(many.select("hot", "single", "ah", "fh", "id", "th", "at", "size", "reps"), "fragments")
     classes = many.groupBy("ah", "fh").agg(
-        F.sum("reps").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "th", "at", "size")).alias("rep"), F.first("single").alias("single")
-    )
+        F.sum("reps").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "th", "at", "size")).alias("rep"),
+        F.first("single").alias("single"), F.first("hot").alias("hot"),
+    )
     classes = table(classes, "classes")
+    # hot anchors were looked at in parts: what the parts don't know of each other, for a few thousand anchors at most
+    whole_hot = classes.where("hot").groupBy("ah").agg((F.count("*") == 1).alias("one"))
+    classes = classes.join(F.broadcast(whole_hot), "ah", "left").withColumn("single", F.when(F.col("hot"), F.col("one")).otherwise(F.col("single"))).drop("one", "hot")
     search_in = classes.where("not single")
     whole = classes.where("n > 1" if by_count else "low < high")
-    search_in = search_in.withColumn("nc", F.count("*").over(Window.partitionBy("ah")))
-    wanted = search_in.select("ah", "fh", "n", "low", "rep.*", (F.col("nc") > unit.most_classes).alias("large"))
+    # counted map-side first; the few anchors of many classes come back by a join
+    large = search_in.groupBy("ah").agg(F.count("*").alias("nc")).where(F.col("nc") > unit.most_classes).select("ah", F.lit(True).alias("large"))
+    search_in = search_in.join(large, "ah", "left")
+    wanted = search_in.select("ah", "fh", "n", "low", "rep.*", F.coalesce("large", F.lit(False)).alias("large"))
     wanted = table(pieces(keys, wanted, unit), "pieces")
     found = search(unit, find, wanted.where("not large").select("ah", "fh", "n", "low", "size", "piece"))
     # anchors of very many classes: window by window
@@ -349,7 +429,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, run: Callable, schema: str,
             yield from run(batch)
 
     hit = only(keys, ranges.select("id")).join(ranges, ["id", "th"], "left").select("id", "text", "ranges")
-    return keys.mapInArrow(direct, schema).unionByName(hit.mapInArrow(joined, schema))
+    return keys.mapInArrow(A.trimmed(direct), schema).unionByName(hit.mapInArrow(A.trimmed(joined), schema))
 
 
 def cover(batch: pa.RecordBatch, i: int, j: int, uoff: np.ndarray) -> np.ndarray:
