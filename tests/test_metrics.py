@@ -8,6 +8,7 @@ from tilspark.operators import alignment as L
 from tilspark.operators import morph_wer as MW
 from tilspark.streaming import scoring
 
+# fixed values: the first two pairs are published with their rates
 DEMO = [("мен мектепке барамын", "мен мектепте барамын"), ("ол үйге келді", "ол үйге кетті"), ("a b c", "a b c")]
 
 
@@ -56,7 +57,7 @@ def test_morph_wer(spark):
     r = MW.morph_wer(pairs(spark, DEMO)).first()
     assert (r["exact"], r["suffix_only"], r["root_errors"], r["insertions"], r["deletions"], r["n_ref_words"]) == (7, 1, 1, 0, 0, 9)
     assert round(r["wer_equivalent"], 4) == 0.2222 and round(r["m_wer"], 4) == 0.1889
-    assert MW.summary(MW.morph_wer(pairs(spark, DEMO))).startswith("M-WER=0.1889  WER=0.2222")
+    assert MW.summary(MW.morph_wer(pairs(spark, DEMO))) == "M-WER=0.1889  (WER=0.2222)  exact=7 suffix-only=1 root-err=1 ins=0 del=0"
     full = MW.morph_wer(pairs(spark, DEMO[:1]), MW.MorphWER(w_suffix=1.0)).first()
     assert full["m_wer"] == pytest.approx(1 / 3)
 
@@ -73,3 +74,28 @@ def test_streamed_windows_equal_a_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("wer_windows").collect())) == sorted(map(tuple, scoring.windowed_wer(rows).collect()))
+
+
+def test_distance_of_very_many_distinct_tokens(spark):
+    # more than fit below the surrogates
+    a = F.transform(F.sequence(F.lit(1), F.lit(42_500)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    df = spark.range(1).select(a.alias("a"))
+    r = df.select(L.edit_distance(F.col("a"), F.slice("a", 42_400, 7)).alias("x"), L.edit_distance(F.lit(None).cast("array<string>"), F.col("a")).alias("y")).first()
+    assert (r["x"], r["y"]) == (42_493, None)
+
+
+def test_alignment_in_blocks_is_the_same(monkeypatch):
+    rng = random.Random(3)
+    for n in (0, 1, 5, 40, 90):
+        r, h = rng.choices("abcd", k=n), rng.choices("abcde", k=rng.randint(0, 80))
+        whole = L._script(r, h)
+        with monkeypatch.context() as m:
+            m.setattr(L, "_CELLS", 1)
+            assert L._script(r, h) == whole
+
+
+def test_alignment_of_a_long_pair():
+    words = [f"w{k % 977}" for k in range(20_000)]
+    changed = [w if k % 100 else "x" for k, w in enumerate(words)][:-3]
+    ops = L._script(words, changed)
+    assert sum(o != "match" for o, *_ in ops) == 200 + 3 and len(ops) == 20_000

@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 OPS = "array<struct<pos:int,op:string,ref:string,hyp:string>>"
-#: distinct tokens that fit between here and the surrogates of UTF-16
-_FIRST, _LAST = 0x3400, 0xD7FF
+#: code points for the distinct tokens of a pair: from here up to the surrogates, and all beyond them
+_FIRST, _LAST, _BEYOND, _END = 0x3400, 0xD800, 0x10000, 0x110000
 
 
 def edit_distance(ref: Column, hyp: Column) -> Column:
     """Unit-cost distance of two token arrays, inside the JVM: each distinct token of the pair becomes
-    one character, and the built-in distance of strings does the rest."""
-    tokens = F.array_distinct(F.concat(ref, hyp))
-    spell = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, lambda t: F.hex(F.array_position(tokens, t) + F.lit(_FIRST))), "")), "UTF-16BE")
-    return F.when(F.size(tokens) < _LAST - _FIRST, F.levenshtein(spell(ref), spell(hyp)))
+    one character, and the built-in distance of strings does the rest.  A pair of more than a million
+    distinct tokens has no spelling and is an error, never a null; null arrays give null."""
+    low = _LAST - _FIRST
+    code = lambda k: F.lpad(F.hex(F.when(k <= low, k + F.lit(_FIRST - 1)).otherwise(k + F.lit(_BEYOND - low - 1))), 8, "0")
+    spell = lambda x, a: F.decode(F.unhex(F.array_join(F.transform(x[a], lambda t: code(F.array_position(x["tokens"], t))), "")), "UTF-32")
+    # a lambda's parameter is bound once; an expression inside it would be computed for every token
+    both = F.array(F.struct(F.array_distinct(F.concat(ref, hyp)).alias("tokens"), ref.alias("r"), hyp.alias("h")))
+    distance = lambda x: F.when(
+        F.coalesce(F.size(x["tokens"]), F.lit(0)) <= low + _END - _BEYOND, F.levenshtein(spell(x, "r"), spell(x, "h"))
+    ).otherwise(F.raise_error(F.lit("a pair has too many distinct tokens")).cast("int"))
+    return F.element_at(F.transform(both, distance), 1)
 
 
 def chain_distance(a: Column, b: Column) -> Column:
@@ -27,40 +34,68 @@ def chain_distance(a: Column, b: Column) -> Column:
     return edit_distance(a, b)
 
 
+#: cells of the distance matrix that are kept; of a larger one only some rows are, and the rest come again
+_CELLS = 1 << 22
+
+
+def _rows(a: np.ndarray, b: np.ndarray, first: np.ndarray, i: int):
+    """The rows of the distance matrix after row ``i``, which is ``first``."""
+    step = np.arange(len(b) + 1)
+    row = first
+    for x in a[i:]:
+        i += 1
+        new = np.empty(len(b) + 1, np.int32)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = (np.minimum.accumulate(new - step) + step).astype(np.int32)
+        yield row
+
+
+def _script(r: list, h: list) -> list[tuple]:
+    code: dict = {}
+    a = np.array([code.setdefault(x, len(code)) for x in r], np.int64)
+    b = np.array([code.setdefault(x, len(code)) for x in h], np.int64)
+    n, m = len(a), len(b)
+    # marks are rows from which a block of rows is made again on the way back
+    block = n if n * (m + 1) <= _CELLS else max(1, int(n**0.5))
+    marks = [np.arange(m + 1, dtype=np.int32)]
+    if block < n:
+        for i, row in enumerate(_rows(a, b, marks[0], 0), 1):
+            if i % block == 0:
+                marks.append(row)
+    out, i, j, begin, d = [], n, m, n + 1, []
+    while i or j:
+        if i <= begin and (i or not d):  # the block of rows that ends with row i
+            begin = max(0, (i - 1) // block * block) if block else 0
+            d = [marks[begin // block if block else 0]]
+            d += _rows(a[:i], b, d[0], begin)
+        row, above = d[i - begin], d[i - begin - 1] if i else None
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(("match", r[i], h[j]))
+        elif i and j and row[j] == above[j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append(("sub", r[i], h[j]))
+        elif i and row[j] == above[j] + 1:
+            i -= 1
+            out.append(("del", r[i], None))
+        else:
+            j -= 1
+            out.append(("ins", None, h[j]))
+    return out[::-1]
+
+
 def align(ref: Column, hyp: Column) -> Column:
     """The edit script from ``ref`` to ``hyp``: match, sub, del, ins in forward order; where several
     are optimal, the backtrace takes match before sub before del before ins.
 
-    An Arrow function: rows of the distance matrix are vectorised, the backtrace walks one path.
+    An Arrow function: rows of the distance matrix are vectorised, the backtrace walks one path.  A
+    matrix of more than ``_CELLS`` cells is never whole in memory.  Null arrays count as empty.
     """
+
     def script(r, h):
-        r, h = list(r) if r is not None else [], list(h) if h is not None else []
-        code: dict = {}
-        a = np.array([code.setdefault(x, len(code)) for x in r], np.int64)
-        b = np.array([code.setdefault(x, len(code)) for x in h], np.int64)
-        n, m = len(a), len(b)
-        d = np.empty((n + 1, m + 1), np.int32)
-        d[0] = step = np.arange(m + 1)
-        for i in range(1, n + 1):
-            row = np.empty(m + 1, np.int32)
-            row[0] = i
-            row[1:] = np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (b != a[i - 1]))
-            d[i] = np.minimum.accumulate(row - step) + step
-        out, i, j = [], n, m
-        while i or j:
-            if i and j and a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
-                out.append(("match", r[i], h[j]))
-            elif i and j and d[i, j] == d[i - 1, j - 1] + 1:
-                i, j = i - 1, j - 1
-                out.append(("sub", r[i], h[j]))
-            elif i and d[i, j] == d[i - 1, j] + 1:
-                i -= 1
-                out.append(("del", r[i], None))
-            else:
-                j -= 1
-                out.append(("ins", None, h[j]))
-        return [{"pos": k, "op": o, "ref": x, "hyp": y} for k, (o, x, y) in enumerate(reversed(out))]
+        found = _script(list(r) if r is not None else [], list(h) if h is not None else [])
+        return [{"pos": k, "op": o, "ref": x, "hyp": y} for k, (o, x, y) in enumerate(found)]
 
     @F.pandas_udf(OPS)
     def run(r: pd.Series, h: pd.Series) -> pd.Series:
