@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 # fixed values
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 FLOOR = -30.0
@@ -76,6 +78,17 @@ def context_stats(counts: DataFrame, cont: DataFrame, order: int, strict: bool =
     return out.select("n", "ctx", total.alias("total"), zero("n1").alias("n1"), zero("n2").alias("n2"), zero("n3").alias("n3"))
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").partitionBy("n").parquet(path)
+    return _read(df.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "n"))
+
+
+def _read(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A table by order; the schema is given, as a small model has no rows of some kinds."""
+    df = spark.read.schema(f"{columns}, n int").parquet(path)
+    return df.select("n", *[c for c in df.columns if c != "n"])
+
+
 @dataclass
 class KneserNey:
     """The tables of a model."""
@@ -88,14 +101,17 @@ class KneserNey:
     strict: bool = False
 
     @classmethod
-    def train(cls, sentences: DataFrame, order: int = 3, *, tokens_col: str = "toks", strict: bool = False) -> KneserNey:
-        counts = ngram_counts(sentences, order, tokens_col=tokens_col)
-        return cls.from_counts(counts, order, strict)
-
-    @classmethod
-    def from_counts(cls, counts: DataFrame, order: int, strict: bool = False) -> KneserNey:
-        cont = continuation_counts(counts)
-        return cls(order, counts, cont, discounts(counts), context_stats(counts, cont, order, strict), strict)
+    def train(cls, sentences: DataFrame, order: int = 3, *, tokens_col: str = "toks", strict: bool = False, path: str | None = None) -> KneserNey:
+        """Counts the n-grams and writes the model's tables once, to ``path`` or a folder for
+        intermediate tables; all that follows reads them."""
+        spark = sentences.sparkSession
+        path = path or scratch.path(spark, "kneser-ney")
+        counts = _written(ngram_counts(sentences, order, tokens_col=tokens_col), f"{path}/counts")
+        cont = _written(continuation_counts(counts), f"{path}/cont")
+        _written(context_stats(counts, cont, order, strict), f"{path}/contexts")
+        discounts(counts).coalesce(1).write.mode("overwrite").parquet(f"{path}/discounts")
+        spark.createDataFrame([(json.dumps({"order": order, "strict": strict}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        return cls.load(spark, path)
 
     def vocab(self) -> DataFrame:
         """``token``: observed tokens, and the three specials."""
@@ -103,20 +119,28 @@ class KneserNey:
         return self.counts.where("n = 1").select(F.col("word").alias("token")).unionByName(specials).distinct()
 
     def save(self, path: str) -> None:
-        """Counts, partitioned by order, and the settings; the other tables follow from them."""
-        self.counts.write.mode("overwrite").partitionBy("n").parquet(f"{path}/counts")
+        """The model's tables, those of n-grams partitioned by order, and its settings."""
+        for name in ("counts", "cont", "contexts"):
+            _written(getattr(self, name), f"{path}/{name}")
         spark = self.counts.sparkSession
+        self.disc.coalesce(1).write.mode("overwrite").parquet(f"{path}/discounts")
         spark.createDataFrame([(json.dumps({"order": self.order, "strict": self.strict}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> KneserNey:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        return cls.from_counts(spark.read.parquet(f"{path}/counts").select(F.col("n").cast("int").alias("n"), "ctx", "word", "c"), meta["order"], meta["strict"])
+        tables = (_read(spark, f"{path}/{name}", columns) for name, columns in (("counts", "ctx string, word string, c bigint"), ("cont", "ctx string, word string, k bigint"), ("contexts", "ctx string, total bigint, n1 bigint, n2 bigint, n3 bigint")))
+        counts, cont, contexts = tables
+        return cls(meta["order"], counts, cont, spark.read.parquet(f"{path}/discounts"), contexts, meta["strict"])
+
+    def _unigrams(self) -> DataFrame:
+        """``token, k`` of the vocabulary: the number of left contexts, null where there is none."""
+        uni = self.cont.where("n = 1").select(F.col("word").alias("token"), "k")
+        return self.vocab().join(uni, "token", "left")
 
     def _totals(self) -> DataFrame:
-        """One row: bigram types and vocabulary size."""
-        types = self.cont.where("n = 1").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("types"))
-        return types.crossJoin(self.vocab().agg(F.count("*").alias("v")))
+        """One row: bigram types, vocabulary size, left contexts of the unknown word."""
+        return self._unigrams().agg(F.coalesce(F.sum("k"), F.lit(0)).alias("types"), F.count("*").alias("v"), F.max(F.when(F.col("token") == UNK, F.col("k"))).alias("unk"))
 
     def score(self, queries: DataFrame) -> DataFrame:
         """``queries`` (``word``, ``ctx`` as array of words) with ``p`` and ``logp``.
@@ -126,12 +150,11 @@ class KneserNey:
         order = self.order
         context = F.slice("ctx", F.greatest(F.size("ctx") - (order - 2), F.lit(1)), F.lit(max(order - 1, 1))) if order > 1 else F.col("ctx")
         out = queries.withColumn("_c", context)
-        uni = self.cont.where("n = 1").select(F.col("word").alias("_uw"), F.col("k").alias("_uk"))
-        known = self.vocab().select(F.col("token").alias("_vw"))
-        out = out.join(known, F.col("word") == F.col("_vw"), "left").withColumn("_w1", F.when(F.col("_vw").isNull(), UNK).otherwise(F.col("word"))).drop("_vw")
-        out = out.join(uni, F.col("_w1") == F.col("_uw"), "left").crossJoin(F.broadcast(self._totals()))
+        uni = self._unigrams().select(F.col("token").alias("_uw"), F.col("k").alias("_uk"))
+        out = out.join(uni, F.col("word") == F.col("_uw"), "left").crossJoin(F.broadcast(self._totals()))  # one row
         types = F.greatest(F.col("types"), F.lit(1)).cast("double")
-        out = out.withColumn("_p", F.when(F.coalesce("_uk", F.lit(0)) > 0, F.col("_uk") / types).otherwise(1.0 / (types + F.col("v") + 1))).drop("_w1", "_uw", "_uk", "types", "v")
+        k = F.coalesce(F.when(F.col("_uw").isNull(), F.col("unk")).otherwise(F.col("_uk")), F.lit(0))
+        out = out.withColumn("_p", F.when(k > 0, k / types).otherwise(1.0 / (types + F.col("v") + 1))).drop("_uw", "_uk", "types", "v", "unk")
         disc = {r["n"]: (r["d1"], r["d2"], r["d3"]) for r in self.disc.collect()}  # a row for each order
         for n in range(2, order + 1):
             d1, d2, d3 = disc.get(n, (0.5, 0.5, 0.5))
