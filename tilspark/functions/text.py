@@ -41,10 +41,12 @@ def compose_exact(text: Column) -> Column:
 
 
 def by_runs(text: Column, pattern: str, change) -> Column:
-    """Applies ``change`` to the runs that ``pattern`` (a character class) matches, in place."""
+    """Applies ``change`` to the runs that ``pattern`` (a character class) matches, in place.  Texts
+    without any such character are not taken apart."""
     inside = f"[{pattern}]+"
     runs = F.regexp_extract_all(text, F.lit(f"{inside}|[^{pattern}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^{inside}$"), change(r)).otherwise(r)), "")
+    whole = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{pattern}]"), change(r)).otherwise(r)), "")
+    return F.when(text.rlike(f"[{pattern}]"), whole).otherwise(text)
 
 
 def expand_abbreviations(text: Column) -> Column:
@@ -72,9 +74,10 @@ def normalize(text: Column, *, expand_numbers: bool = True, keep_unknown: bool =
     text = repair_homoglyphs(expand_abbreviations(text))
     if expand_numbers:
         text = expand_digits(text)
-    if not keep_unknown:
-        text = F.regexp_replace(text, f"[^{ALPHABET} ]", " ")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    if keep_unknown:
+        return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # only blanks are left of all white space, and a run of other characters is one match
+    return F.trim(F.regexp_replace(text, f"[^{ALPHABET}]+", " "))
 
 
 def words(text: Column) -> Column:

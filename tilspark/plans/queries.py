@@ -13,7 +13,7 @@ from ..operators import ctc, vocab
 from ..operators import language_model as LM
 from ..operators import morph_wer as MW
 from ..operators import morphology as M
-from ..sources import files
+from ..sources import files, scratch
 from . import bridges as B
 
 # ---------------------------------------------------------------- SQL parts
@@ -105,7 +105,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.read(spark, sf_dir, "conversations")
     a = c.select("conv_id", "turn", F.col("text").alias("ref"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
-    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "ref", "hyp")
+    return scratch.spread(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "ref", "hyp"))
 
 
 _SQL_TURNS = "turns AS (SELECT a.conv_id * 1000 + a.turn AS utt_id, coalesce(a.text, '') AS ref, coalesce(b.text, '') AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
