@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from tilspark.operators import morph_wer as MW
 from tilspark.operators import vocab
 from tilspark.plans import jobs
 from tilspark.sources import files
@@ -9,7 +10,9 @@ from tilspark.sources import files
 
 def test_demo(spark):
     out = jobs.demo(spark)
-    assert "мектепке" in out and "WER             : 0.2222" in out and "M-WER           : 0.1889" in out and "7 / 1 / 1" in out
+    lines = dict(x.split(":") for x in out.replace(" ", "").split("\n") if x.count(":") == 1)
+    assert lines["WER"] == "0.3333" and lines["M-WER"] == "0.1167" and (lines["exact"], lines["suffixonly"], lines["rooterrors"], lines["utterances"]) == ("6", "3", "0", "3")
+    assert "'қалаға' -> 'қалада'" in out and "балалар         бала+PL" in out
 
 
 def test_lm_and_decoding(spark, tmp_path):
@@ -33,5 +36,55 @@ def test_score_files(spark, tmp_path):
     (tmp_path / "r").write_text("мен мектепке барамын\n", encoding="utf-8")
     (tmp_path / "h").write_text("Мен мектепте барамын!\n", encoding="utf-8")
     assert "0.3333" in jobs.score_files(spark, str(tmp_path / "r"), str(tmp_path / "h"))
+    free = jobs.score_files(spark, str(tmp_path / "r"), str(tmp_path / "h"), MW.MorphWER(w_suffix=0.0))
+    assert "M-WER               : 0.0000" in free and "utterances          : 1" in free
     files.write_transcripts(spark.createDataFrame([("a.wav", "мен")], "name string, text string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "a.wav\tмен"
+
+
+def _wav(path, values, rate=16_000, width=2, channels=1):
+    import wave
+
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        w.writeframes(b"".join(int(v * (1 << (8 * width - 1))).to_bytes(width, "little", signed=True) for v in values for _ in range(channels)))
+
+
+def test_wavs_to_text_and_datasets(spark, tmp_path):
+    wavs = tmp_path / "wavs"
+    wavs.mkdir()
+    tokens = {c: i for i, c in enumerate("мено")} | {vocab.WORD_DELIMITER: 4, vocab.UNKNOWN: 5, vocab.PADDING: 6}
+    spell = lambda text: [tokens[c] / 16 for c in text.replace(" ", "|")]
+    _wav(wavs / "a.wav", spell("мен"))
+    _wav(wavs / "b.wav", [v for v in spell("ноон") for _ in (0, 1)], rate=32_000, width=3, channels=2)
+    (wavs / "a.txt").write_text("Мен!", encoding="utf-8")
+    (wavs / "b.txt").write_text("Но он", encoding="utf-8")
+
+    def log_probs(samples, rate):
+        assert rate == 16_000
+        return [[math.log(0.94 if k == round(float(x) * 16) else 0.01) for k in range(7)] for x in samples]
+
+    out = {r["name"]: r["text"] for r in jobs.transcribe_wavs(spark, str(wavs), log_probs, tokens, "greedy").collect()}
+    assert out["a.wav"] == "мен" and set(out) == {"a.wav", "b.wav"}
+    data = files.package_dataset(spark, str(wavs), str(tmp_path / "data"), test_size=1.0)
+    assert sorted((r["file_name"], r["text"], r["sampling_rate"], len(r["audio"])) for r in data.collect()) == [("a.wav", "мен", 16_000, 3), ("b.wav", "но он", 16_000, 4)]
+    (wavs / "metadata.tsv").write_text("file_name\ttranscript\na.wav\tол\n", encoding="utf-8")
+    assert [tuple(r) for r in files.read_transcripts(spark, str(wavs)).collect()] == [("a.wav", "ол")]
+    ready = vocab.prepare_examples(data.where("file_name = 'a.wav'"), tokens).first()
+    assert ready["labels"] == [0, 1, 2] and abs(sum(ready["input_values"])) < 1e-5
+
+
+def test_evaluate_frames_against_a_dataset(spark, tmp_path):
+    tokens = {c: i for i, c in enumerate("мено")} | {vocab.WORD_DELIMITER: 4, vocab.UNKNOWN: 5, vocab.PADDING: 6}
+    rows = [(1, t, [math.log(0.94 if k == i else 0.01) for k in range(7)]) for t, i in enumerate(tokens[c] for c in "мен|но")]
+    frames = spark.createDataFrame(rows, "utt_id long, t int, lp array<double>")
+    spark.createDataFrame([(1, "мен он", "test"), (2, "но", "test"), (3, "мен", "train")], "utt_id long, text string, split string").write.partitionBy("split").parquet(str(tmp_path / "d"))
+    out = jobs.evaluate(spark, frames, str(tmp_path / "d"), tokens)
+    assert "WER                 : 0.6667" in out and "deletions           : 1" in out and "utterances          : 2" in out
+
+
+def test_metric_of_predicted_ids(spark):
+    v = {c: i for i, c in enumerate("мено")} | {vocab.WORD_DELIMITER: 4, vocab.UNKNOWN: 5, vocab.PADDING: 6}
+    rows = [([0, 0, 6, 1, 2, 4, 2, 3, 6], [0, 1, 2, 4, 2, 3, -100, -100]), ([0, 1, 1, 2], [0, 1, 1, 2, -100])]
+    r = vocab.batch_wer(spark.createDataFrame(rows, "ids array<int>, labels array<int>"), v).first()
+    assert (r["edits"], r["n_ref"]) == (1, 3)

@@ -61,3 +61,12 @@ def test_suffix_matches(spark):
     w = spark.createDataFrame([("мектептер",), ("ым",)], "word string")
     got = {(r["word"], r["slot"], r["surface"], r["licensed"]) for r in M.suffix_matches(w, S.suffix_table(spark)).collect()}
     assert ("мектептер", "PLURAL", "тер", True) in got and ("ым", "POSSESSIVE", "м", True) in got and ("ым", "POSSESSIVE", "ым", True) not in got
+
+
+def test_root_and_suffixes(spark):
+    from pyspark.sql import functions as F
+
+    from tilspark.operators import morphology as M
+
+    rows = spark.createDataFrame([("балаларына",), ("үй",)], "word string").select(M.root_suffix(F.col("word")).alias("a")).collect()
+    assert rows[0]["a"]["root"] == "бала" and "".join(rows[0]["a"]["suffixes"]) == "ларына" and (rows[1]["a"]["root"], rows[1]["a"]["suffixes"]) == ("үй", [])

@@ -112,6 +112,12 @@ def best(word: Column, seg: Segmenter = Segmenter()) -> Column:
     return F.element_at(analyses(word, seg), 1)
 
 
+def root_suffix(word: Column, seg: Segmenter = Segmenter()) -> Column:
+    """``struct<root, suffixes>`` of a word's best analysis, suffixes from the root outward."""
+    # bound once, taken apart after
+    return F.element_at(F.transform(analyses(word, seg), lambda a: F.struct(a["root"].alias("root"), suffix_chain(a).alias("suffixes"))), 1)
+
+
 def tags(analysis: Column) -> Column:
     return F.transform(analysis["morphemes"], lambda m: m["tag"])
 

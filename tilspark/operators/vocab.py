@@ -58,5 +58,25 @@ def pad_labels(df: DataFrame, batch_col: str, labels_col: str = "labels", out: s
     return df.withColumn(out, F.concat(F.col(labels_col), fill))
 
 
+def prepare_examples(df: DataFrame, vocab: dict[str, int], *, audio_col: str = "audio", text_col: str = "text") -> DataFrame:
+    """``input_values, labels`` and nothing else: samples of zero mean and unit variance, and label ids."""
+    x = F.transform(F.col(audio_col), lambda v: v.cast("double"))
+    n = F.greatest(F.size("x"), F.lit(1))
+    total = lambda f: F.aggregate(F.col("x"), F.lit(0.0), lambda a, v: a + f(v))
+    rows = df.select(x.alias("x"), encode_labels(F.col(text_col), vocab).alias("labels"))
+    rows = rows.withColumn("mean", total(lambda v: v) / n)
+    rows = rows.withColumn("scale", F.sqrt(total(lambda v: (v - F.col("mean")) * (v - F.col("mean"))) / n + F.lit(1e-7)))
+    return rows.select(F.transform("x", lambda v: ((v - F.col("mean")) / F.col("scale")).cast("float")).alias("input_values"), "labels")
+
+
+def batch_wer(predictions: DataFrame, vocab: dict[str, int], *, ids_col: str = "ids", labels_col: str = "labels") -> DataFrame:
+    """``edits, n_ref, wer`` of predicted frame ids against padded labels: ignored labels count as
+    padding, predictions lose repeats and padding, labels padding only."""
+    from .alignment import word_error_rate
+
+    texts = predictions.select(decode_labels(F.col(labels_col), vocab).alias("ref"), decode_labels(F.col(ids_col), vocab, group=True).alias("hyp"))
+    return word_error_rate(texts)
+
+
 def special_tokens(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(WORD_DELIMITER,), (UNKNOWN,), (PADDING,)], "token string")

@@ -40,37 +40,92 @@ def read_dataset(spark: SparkSession, path: str, split: str = "test") -> DataFra
     return df.where(F.col("split") == split) if "split" in df.columns else df
 
 
+def _with_split(df: DataFrame, key_col: str, text_col: str, test_size: float, seed: int) -> DataFrame:
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key_col).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return df.select("*", T.normalize(F.col(text_col)).alias("text"), F.when(place < test_size, "test").otherwise("train").alias("split")).where("text <> ''")
+
+
 def prepare_dataset(transcripts: DataFrame, path: str | None = None, *, key_col: str = "file_name", text_col: str = "transcript", test_size: float = 0.1, seed: int = 42) -> DataFrame:
     """Normalised transcripts with a ``split`` by the hash of the key, so it doesn't depend on order or
     partitioning; written by split if a path is given.  Own design."""
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key_col).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    out = transcripts.select(F.col(key_col), T.normalize(F.col(text_col)).alias("text"), F.when(place < test_size, "test").otherwise("train").alias("split")).where("text <> ''")
+    out = _with_split(transcripts, key_col, text_col, test_size, seed).select(F.col(key_col), "text", "split")
     if path:
         out.write.mode("overwrite").partitionBy("split").parquet(path)
     return out
 
 
-def read_audio(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sampling_rate, audio`` (array of float, channels averaged) of PCM wav files."""
-    def decode(frames):
-        import io
-        import wave
+def _pcm(content: bytes) -> tuple[int, "np.ndarray"]:
+    """Sampling rate and mono samples in -1 to 1 of a PCM wav file (8, 16, 24 or 32 bits)."""
+    import io
+    import wave
+
+    import numpy as np
+
+    with wave.open(io.BytesIO(content)) as w:
+        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        data = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+    if width == 1:
+        x = (data.astype(np.float32) - 128) / 128
+    else:  # the bytes of a sample become the upper ones of an int32
+        wide = np.zeros((len(data) // width, 4), np.uint8)
+        wide[:, 4 - width :] = data.reshape(-1, width)
+        x = wide.view("<i4")[:, 0] / float(1 << 31)
+    return rate, x.astype(np.float32).reshape(-1, channels).mean(1)
+
+
+def _resampled(x: "np.ndarray", rate: int, target: int) -> "np.ndarray":
+    """Linear interpolation at the target's instants; above its band, a mean over each target step first."""
+    import numpy as np
 
-        import numpy as np
+    if rate == target or not len(x):
+        return x
+    if rate > target:
+        width = round(rate / target)
+        x = np.convolve(x, np.ones(width, np.float32) / width, "same") if width > 1 else x
+    at = np.arange(int(len(x) * target / rate)) * (rate / target)
+    return np.interp(at, np.arange(len(x)), x).astype(np.float32)
 
+
+def read_audio(spark: SparkSession, path: str, *, target_rate: int | None = None) -> DataFrame:
+    """``path, sampling_rate, audio`` (array of float, channels averaged) of PCM wav files, resampled to
+    ``target_rate`` if one is given."""
+
+    def decode(frames):
         for pdf in frames:
             out = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                with wave.open(io.BytesIO(content)) as w:
-                    width, channels = w.getsampwidth(), w.getnchannels()
-                    raw = np.frombuffer(w.readframes(w.getnframes()), {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
-                    x = (raw - 128) / 128 if width == 1 else raw / float(1 << (8 * width - 1))
-                    out.append((p, w.getframerate(), x.reshape(-1, channels).mean(1)))
+                rate, x = _pcm(content)
+                out.append((p, target_rate or rate, _resampled(x, rate, target_rate or rate)))
             yield pd.DataFrame(out, columns=["path", "sampling_rate", "audio"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content").mapInPandas(decode, "path string, sampling_rate int, audio array<float>")
 
 
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name, transcript`` of a folder: its ``metadata.csv`` or ``metadata.tsv``, or else a ``.txt``
+    beside each ``.wav``."""
+    from pyspark.errors import AnalysisException
+
+    for name, sep in (("metadata.csv", ","), ("metadata.tsv", "\t")):
+        try:
+            return spark.read.csv(f"{path}/{name}", sep=sep, header=True).select("file_name", "transcript")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", ".wav")
+    return texts.select(name.alias("file_name"), F.trim(F.decode("content", "UTF-8")).alias("transcript"))
+
+
+def package_dataset(spark: SparkSession, audio_dir: str, path: str, *, test_size: float = 0.1, seed: int = 42, target_rate: int = 16_000) -> DataFrame:
+    """A folder of recordings as a dataset by split: mono audio of one rate beside its normalised
+    transcript; files without one, and transcripts without text, are left out.  Own design."""
+    audio = join_transcripts(read_audio(spark, audio_dir, target_rate=target_rate), read_transcripts(spark, audio_dir))
+    out = _with_split(audio, "file_name", "transcript", test_size, seed)
+    out.select("file_name", "text", "sampling_rate", "audio", "split").write.mode("overwrite").partitionBy("split").parquet(path)
+    return spark.read.parquet(path)
+
+
 def join_transcripts(audio: DataFrame, transcripts: DataFrame, *, key_col: str = "file_name") -> DataFrame:
     """Audio files with the transcripts of their base names."""
     return audio.withColumn(key_col, F.element_at(F.split("path", "/"), -1)).join(transcripts, key_col)
@@ -98,9 +153,12 @@ def write_transcripts(df: DataFrame, path: str) -> None:
     df.select("name", "text").write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
 
 
-def report(wer: float, cer: float, m) -> str:
+def report(wer: float, cer: float, m, utterances: int, examples: list[str] = ()) -> str:
     """The console block of an evaluation; ``m`` is a row of ``morph_wer``."""
-    return "\n".join([
-        f"reference words : {m['n_ref_words']}", f"WER             : {wer:.4f}", f"CER             : {cer:.4f}", f"M-WER           : {m['m_wer']:.4f}",
-        f"exact / suffix-only / root-err : {m['exact']} / {m['suffix_only']} / {m['root_errors']}", f"insertions / deletions         : {m['insertions']} / {m['deletions']}",
-    ])
+    rows = [
+        ("utterances", utterances), ("reference words", m["n_ref_words"]), ("WER", f"{wer:.4f}"), ("CER", f"{cer:.4f}"), ("M-WER", f"{m['m_wer']:.4f}"),
+        ("WER, same alignment", f"{m['wer_equivalent']:.4f}"), ("exact", m["exact"]), ("suffix only", m["suffix_only"]), ("root errors", m["root_errors"]),
+        ("insertions", m["insertions"]), ("deletions", m["deletions"]),
+    ]
+    lines = [f"{name:<20}: {value}" for name, value in rows]
+    return "\n".join([*lines, *(f"  {e}" for e in examples)])
