@@ -19,10 +19,14 @@ MODULES = {
 }
 
 
+#: imported with the package, so that whoever guards its import guards theirs
+_LOADED = {name: importlib.import_module(f"{__name__}.{module}") for name, module in MODULES.items()}
+
+
 def queries() -> dict:
-    return {name: importlib.import_module(f"{__name__}.{module}").query for name, module in MODULES.items()}
+    return {name: module.query for name, module in _LOADED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: importlib.import_module(f"{__name__}.{module}").SQL for name, module in MODULES.items()}
+    found = {name: module.SQL for name, module in _LOADED.items()}
     return {name: sql for name, sql in found.items() if sql}

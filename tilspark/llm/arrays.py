@@ -59,8 +59,80 @@ def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+_libc = None
+
+
 def trimmed(run):
-    return run
+    """``run`` over the batches of a task; in the end freed memory goes back to the system."""
+
+    def wrapped(batches):
+        global _libc
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                import ctypes
+
+                _libc = _libc or ctypes.CDLL(None)
+                _libc.malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library
+                pass
+
+    return wrapped
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of a string column; null counts as the empty text."""
+    if not pa.types.is_large_string(arr.type):
+        arr = arr.cast(pa.large_string())
+    if arr.null_count:
+        arr = pc.fill_null(arr, "")
+    if len(arr) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = arr.buffers()
+    off = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return buf[off[0] : off[-1]], off - off[0]
+
+
+def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of at most ``limit`` bytes (one row at least)."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = int(np.searchsorted(off, off[i] + limit, "right")) - 1
+        j = min(n, max(j, i + 1))
+        yield i, j
+        i = j
+
+
+def sliced(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of each slice of a string column."""
+    buf, off = utf8(arr)
+    for i, j in slices(off, limit):
+        yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
+
+
+def runs(flag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags, broken at row borders."""
+    n = len(flag)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    before = np.empty(n, bool)
+    before[0] = False
+    before[1:] = flag[:-1]
+    starts = np.flatnonzero(flag & (~before | first[:n]))
+    after = np.empty(n, bool)
+    after[-1] = False
+    after[:-1] = flag[1:]
+    ends = np.flatnonzero(flag & (~after | first[1:])) + 1
+    return starts, ends
 
 
 def eights(buf: np.ndarray) -> np.ndarray:

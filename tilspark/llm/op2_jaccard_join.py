@@ -44,7 +44,7 @@ class Join:
     n: int = 5  # words of a shingle
     percent: int = 80  # links: 100 * intersection >= percent * union
     slots: int = 1 << 20  # of the table of counts: 4 MB, whatever the corpus
-    tile_tokens: int = 1 << 21
+    tile_tokens: int = 1 << 19  # of a task: about 30 MB with its lists
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
