@@ -374,8 +374,9 @@ def brute_lines(rows):
 
 
 def lines_query(df):
-    out, bits = op9.with_bitmaps(df), F.col("_dropped")
-    n = F.coalesce(F.aggregate(F.transform(bits, F.bit_count), F.lit(0), lambda a, x: a + x), F.lit(0))
+    out, keep = op9.with_bitmaps(df)
+    bits = F.col(keep)
+    n = F.coalesce(F.aggregate(bits, F.lit(0), lambda a, x: a + 64 - F.bit_count(x["bits"])), F.lit(0))
     return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")), n, F.sha2(op9.kept_text(F.col("text"), bits), 256))
 
 
@@ -388,6 +389,29 @@ def test_op9(spark, docs, rows, none):
     assert op9.dedup_lines(docs).columns == docs.columns and op9.dedup_lines(none).count() == 0
 
 
+def test_op9_frequent_lines_are_dealt_out(spark):
+    many = [(k, f"a very common line\nown line number {k}\nAnother common line\n{'only some have it' if k % 5 == 0 else ''}\na very common line") for k in range(3, 80)]
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    assert op9.frequent_keys(df).count() == 3
+    assert by_id(lines_query(df)) == brute_lines(many)
+    rows = op9.repeated_lines(df)
+    assert rows.count() == 76 * 3 + 14
+
+
+def test_op9_shuffles_lines_once(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op9, "table", lambda df, name: seen.append(df) or df)
+    op9.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    # one by ranges; the others are of the sample and of its broadcast
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan.split("BroadcastExchange")[0]
+
+
+def test_op9_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "the same line", 5, "x"), (2, "the same line", 6, "y")], "doc_id long, text string, _line_dedup_id long, _id string")
+    assert sorted(map(tuple, op9.dedup_lines(df).collect())) == [(1, "the same line", 5, "x"), (2, "", 6, "y")]
+
+
 def test_native_operators_have_no_python(docs):
     for df in (op9.dedup_lines(docs), op7.mix_sources(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
