@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
@@ -59,6 +60,20 @@ def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+#: rows of a batch that goes to Python: of texts, a thousand fill a slice or more
+BATCH_ROWS = 1000
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has the session send fewer rows at a time, unless its owner has chosen a number: a batch is held
+    by the JVM and by the worker, and ten thousand texts are many times a slice."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 _libc = None
 
 

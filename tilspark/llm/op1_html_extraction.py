@@ -62,7 +62,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars, path`` of each page."""
     spark = pages.sparkSession
-    own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
+    own = A.small_batches(pages).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
     winners = host_paths(own)
     few = winners.limit(BROADCAST_HOSTS + 1).collect()
     schema = "page_id bigint, url string, text string, n_chars bigint, path string"

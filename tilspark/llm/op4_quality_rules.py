@@ -127,7 +127,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_c
             for i, j, buf, off in A.sliced(A.column(batch, "text")):
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(i, j - i), **_score(buf, off, rules)})
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(A.trimmed(run), SCHEMA)
+    return A.small_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(A.trimmed(run), SCHEMA)
 
 
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, text_col: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), *, tex
                 yield batch.slice(i, j - i).filter(pa.array(_score(buf, off, rules)["kept"]))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(A.trimmed(run), docs.schema)
+    return A.small_batches(docs).mapInArrow(A.trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

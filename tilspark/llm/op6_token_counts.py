@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, path: str | None = None, *, id_col: str = "doc
     """``doc_id, n_bytes, n_tokens, over_limit`` of each document."""
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         data = f.read()
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text")
+    docs = A.small_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text")
     table = frequent_table(docs, data, sample_docs=sample_docs, table_size=table_size)
     sent = docs.sparkSession.sparkContext.broadcast((data, table))
 

@@ -236,7 +236,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                 yield pa.RecordBatch.from_arrays([key.slice(i, j - i), pa.array(np.diff(ioff)), column(cut(ids, ioff, 4)), column(cut(out, ooff, 1))], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(A.trimmed(run), schema)
+    return A.small_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(A.trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

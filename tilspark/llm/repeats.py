@@ -144,7 +144,7 @@ def _chunks(unit: Unit, buf: np.ndarray, off: np.ndarray):
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, th, text``: null ids are NO_ID, null texts empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
+    return A.small_batches(docs).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
 
 
 def _occurrences(unit: Unit, batches):
