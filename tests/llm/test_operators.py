@@ -1,6 +1,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -74,10 +75,54 @@ def test_op1(spark):
 def test_op1_joins_hosts_where_they_are_too_many_to_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h{k}.org/", f"<article><p>page {k} is a page of text</p></article>") for k in range(12)], "page_id long, url string, html string")
     want = by_id(op1.extract_pages(df))
-    monkeypatch.setattr(op1, "BROADCAST_HOSTS", 3)
+    monkeypatch.setattr(op1, "BROADCAST_CHARS", 3)
     assert by_id(op1.extract_pages(df)) == want
 
 
+class NaiveReader(HTMLParser):
+    """The text of the article element by the standard library's tokeniser: blocks at block tags."""
+
+    BLOCK = set("article h1 h2 h3 h4 h5 h6 p div ul ol li table tr td th blockquote pre section figure figcaption dl dt dd hr main".split())
+    SKIP = set("script style nav aside footer header form noscript".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks, self.ad = 0, 0, [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in self.SKIP
+        if tag in self.BLOCK:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in self.SKIP
+        if tag in self.BLOCK:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(t for t in (" ".join(b.split()) for b in self.blocks) if t)
+
+
+def test_op1_reads_every_page_as_a_naive_reader_does(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = by_id(op1.query(spark, sf_dir))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(got) == len(pages) >= 50
+    for r in pages:
+        naive = NaiveReader()
+        naive.feed(r["html"] or "")
+        naive.close()
+        assert got[r["page_id"]] == (r["url"], naive.text(), len(naive.text())), r["page_id"]
+
+
 # ------------------------------------------------------------------ op2
 
 

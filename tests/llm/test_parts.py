@@ -168,6 +168,31 @@ def test_pages():
         assert text == want, page
 
 
+ARTICLE = "<article><h1>Title of it</h1><p>This is the article's long text, of some words, which is what is wanted.</p><p>And a second paragraph.</p></article>"
+ARTICLE_TEXT = "Title of it\nThis is the article's long text, of some words, which is what is wanted.\nAnd a second paragraph."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "page with-comments", "single-post widget-area-none", "content promo-article", "no-ads", "comments", "main-menu-open"])
+def test_an_element_around_the_article_stays_whatever_its_class(name):
+    page = f"<body><nav>menu</nav><div class='{name}'>{ARTICLE}<div class='comments'><p>I disagree.</p></div></div><div class='sidebar'><p>beside it</p></div></body>"
+    assert H.extract(H.parse(page), [])[0] == ARTICLE_TEXT
+    assert H.extract(H.parse(f"<form id='page'><div>{ARTICLE}</div><div class='promo-article'>Buy.</div></form>"), [])[0] == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("name", ["user-reviews", "comments", "commentList", "feedback"])
+def test_comments_longer_than_the_story_are_not_it(name):
+    said = "".join(f"<article><p>I am reader {k}, and I write a long comment about this, longer than the story was.</p></article>" for k in range(3))
+    page = f"<div class='story'><h1>Title of it</h1><p>This is the story, of some words.</p></div><div class='{name}'>{said}</div>"
+    assert H.extract(H.parse(page), [])[0] == "Title of it\nThis is the story, of some words."
+
+
+def test_long_paths_vote_too():
+    page = "<body>" + "".join(f"<div class='level-{'x' * 40}-part{'abcdefghijklmnop'[k]}'>" for k in range(16)) + "<p>The text of this page, deep down in it.</p>"
+    node, _ = H.score(H.parse(page))
+    path = node.path()
+    assert len(path) <= H.PATH_CHARS and H.extract(H.parse(page), [path]) == ("The text of this page, deep down in it.", path)
+
+
 def test_host_paths_win_over_own_scores():
     page = "<body><div class='story-9'><p>The short story.</p></div><div class='links'><p>A long text in another container, which would win on its own here.</p></div></body>"
     assert H.extract(H.parse(page), ["div.story-#"]) == ("The short story.", "div.story-#")

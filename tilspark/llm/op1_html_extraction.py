@@ -5,12 +5,14 @@ page's vote.  Spark sums the votes by host and path (map-side first, so a host w
 pages costs a row for each path and task).  Pass 2 parses each page again and takes the text under
 the first of its host's winning paths that the page has, or else under its own best container.
 
-The paths of a host reach pass 2 by broadcast while there are at most ``BROADCAST_HOSTS`` hosts
-(checked; a host's row is bounded by ``PATHS`` paths of ``PATH_CHARS`` characters), and by a join on
-host and salt beyond, which deals a large host over many tasks.
-
-Null html has empty text; a null or odd url has the host ``''``; ties between paths go to the smaller
-path; repeated pages vote and are returned as often as they occur; other columns are ignored.
+A path wins by its share of the host's votes, so a host has at most ``1 / LEAST_SHARE`` of them.  They
+reach pass 2 by broadcast while all hosts and paths have at most ``BROADCAST_CHARS`` characters
+(checked), and by a join on host and salt beyond, which deals a large host over many tasks.
+
+Null or empty html has empty text; a null or odd url has the host ``''``; a very long page is read
+whole, by itself; ties between paths go to the one with the higher score, then the smaller path;
+repeated pages vote and are returned as often as they occur; null ids come back null; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import html_tree as H
+from .scratch import table
 
-BROADCAST_HOSTS = 20_000
-PATHS = 4
-PATH_CHARS = 400
+BROADCAST_CHARS = 8 << 20
 SALTS = 64
 #: a path wins if it has this share of its host's votes
 LEAST_SHARE = 0.05
@@ -41,8 +42,8 @@ def _votes(batches):
         out: dict[tuple[str, str], list[float]] = {}
         for i in range(len(html)):
             best, value = H.score(H.parse(html[i].as_py() or ""))
-            if best is not None and len(p := best.path()) <= PATH_CHARS:
-                x = out.setdefault((host[i], p), [0, 0.0])
+            if best is not None:
+                x = out.setdefault((host[i], best.path()), [0, 0.0])
                 x[0] += 1
                 x[1] += value
         yield pa.RecordBatch.from_pydict({"host": [k[0] for k in out], "path": [k[1] for k in out], "votes": [int(v[0]) for v in out.values()], "score": [float(int(v[1])) for v in out.values()]})
@@ -50,25 +51,25 @@ def _votes(batches):
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """``host, paths``: each host's winning paths, best first.  ``pages`` has ``host`` and ``html``."""
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes bigint, score double")
+    votes = pages.select("host", "html").mapInArrow(A.trimmed(_votes), "host string, path string, votes bigint, score double")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     # a host has few paths after the sum, one row each; sums of whole numbers don't depend on order
-    ranked = votes.groupBy("host").agg(F.sum("votes").alias("all"), F.max_by("path", F.struct("votes", "score", "path")).alias("best"), F.max("votes").alias("most"))
+    ranked = votes.groupBy("host").agg(F.sum("votes").alias("all"), F.min_by("path", F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")).alias("best"))
     strong = votes.join(ranked, "host").where((F.col("votes") >= LEAST_SHARE * F.col("all")) | (F.col("path") == F.col("best")))
     lists = strong.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path"))).alias("p"))
-    return lists.select("host", F.slice(F.transform("p", lambda x: x["path"]), 1, PATHS).alias("paths"))
+    return lists.select("host", F.transform("p", lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars, path`` of each page."""
     spark = pages.sparkSession
     own = A.small_batches(pages).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    winners = host_paths(own)
-    few = winners.limit(BROADCAST_HOSTS + 1).collect()
+    winners = table(host_paths(own), "host_paths")
+    chars = winners.agg(F.coalesce(F.sum(F.char_length("host") + F.char_length(F.array_join("paths", "")) + 100), F.lit(0))).first()[0]
     schema = "page_id bigint, url string, text string, n_chars bigint, path string"
     by_host = None
-    if len(few) <= BROADCAST_HOSTS:
-        by_host = spark.sparkContext.broadcast({r["host"]: list(r["paths"]) for r in few})
+    if chars <= BROADCAST_CHARS:
+        by_host = spark.sparkContext.broadcast({r["host"]: list(r["paths"]) for r in winners.collect()})
         joined = own
     else:
         salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -84,7 +85,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                 "n_chars": [len(t) for t, _ in found], "path": pa.array([p for _, p in found], pa.string()),
             })
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(A.trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
