@@ -13,7 +13,7 @@ from tilspark.llm import html_tree as H
 from tilspark.llm import op6_token_counts as C
 from tilspark.llm import op8_byte_bpe as B
 from tilspark.llm import repeats as R
-from tilspark.llm.fm_index import FMIndex
+from tilspark.llm.fm_index import FMIndex, Matcher, _long_suffix_array, suffix_array
 from tilspark.llm.spans import Cache, SpanTable
 
 ALPHABET = [*" '\"'stmdrevl  \n\t\r é漢字1२½a​\U0001f600́x\x1c\x1f\x85 ", "<|endoftext|>", "'ll", "'re"]
@@ -115,18 +115,24 @@ def test_token_counts_equal_the_library():
     assert got == [len(e.ids) for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def shard_text(rng, top=4):
+    parts = [rng.integers(1, top, rng.integers(1, 40)) for _ in range(12)]
+    return parts, np.concatenate([np.append(p, 0) for p in parts])
+
+
 def test_index_finds_what_brute_force_finds():
     rng = np.random.default_rng(1)
     for _ in range(20):
-        text = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 40)), 0) for _ in range(12)])
+        _, text = shard_text(rng)
         length, n = 5, len(text)
-        index = FMIndex(text, length)
+        order = suffix_array(text, length)
+        index = FMIndex(text, order)
         real = [p for p in range(n - length + 1) if (text[p : p + length] > 0).all()]
         windows: dict[tuple, list[int]] = {}
         for p in real:
             windows.setdefault(tuple(text[p : p + length].tolist()), []).append(p)
         group = np.cumsum(index.lengths_below(length)[:n] >= 0)
-        of = dict(zip(index.order.tolist(), group.tolist()))
+        of = dict(zip(order.tolist(), group.tolist()))
         assert all((of[p] == of[q]) == (tuple(text[p : p + length]) == tuple(text[q : q + length])) for p in real for q in real[:30])
         i, j = np.zeros(len(real), np.int64), np.full(len(real), n)
         for k in range(length - 1, -1, -1):
@@ -134,6 +140,37 @@ def test_index_finds_what_brute_force_finds():
         assert (j - i).tolist() == [len(windows[tuple(text[p : p + length].tolist())]) for p in real]
 
 
+def test_suffix_arrays_agree():
+    rng = np.random.default_rng(4)
+    for top in (3, 200):
+        _, text = shard_text(rng, top)
+        for depth in (1, 4, 9):
+            cut = lambda order, d=depth: [tuple(text[p : p + d].tolist()) for p in order.tolist()]
+            a, b = suffix_array(text, depth), _long_suffix_array(text, depth)
+            assert sorted(a.tolist()) == sorted(b.tolist()) == list(range(len(text)))
+            assert cut(a) == cut(b) == sorted(cut(a))
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(7)
+    for depth in (1, 3, 6):
+        for _ in range(15):
+            parts, text = shard_text(rng)
+            owner = rng.integers(0, 6, len(parts))
+            size = np.array([len(p) for p in parts])
+            begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+            matcher = Matcher(text, np.repeat(owner, size + 1), depth)
+            limit = owner + rng.integers(0, 2, len(parts))
+            stream, at = matcher.matches(text, begin, begin + size, limit)
+            held = {}
+            for p, o in zip(parts, owner.tolist()):
+                for k in range(len(p) - depth + 1):
+                    w = tuple(p[k : k + depth].tolist())
+                    held[w] = min(o, held.get(w, 9))
+            want = {(s, int(b) + k) for s, (p, b, m) in enumerate(zip(parts, begin, limit)) for k in range(len(p) - depth + 1) if held[tuple(p[k : k + depth].tolist())] < m}
+            assert set(zip(stream.tolist(), at.tolist())) == want and len(stream) == len(want)
+
+
 def test_every_window_is_in_one_fragment_and_equal_windows_share_anchors():
     rng = np.random.default_rng(2)
     unit = R.byte_unit(40)

@@ -1,13 +1,15 @@
 """Substring dedup: words covered by a window of ``length`` words that a smaller document holds.
 
 Candidates come from ``repeats``.  Each shard's fragments are indexed by a compressed FM-index
-(wavelet matrix over the transform, packed bits with counts) and streamed through it: backward search
-extends all windows together, a window leaves when nothing but itself matches, and those that reach
-``length`` are reported if a smaller document is among the matches.
+(wavelet matrix over the transform) and streamed through it from their ends: backward search over the
+wavelet tree carries each position's longest match in a smaller document on to the position before
+it (matching statistics), and positions whose match reaches ``length`` words are reported.
 
 Null text has no words; null ids come back null and count as larger than any other, so they lose
 windows to documents with ids and never to each other; rows of one id don't take windows from each
-other.  Other columns are ignored.
+other.  Of equal texts that of the smallest id keeps its words.  Very long texts are cut into
+overlapping pieces to find their fragments.  An empty table gives an empty result, other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,38 +22,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays as A
 from . import repeats as R
-from .fm_index import FMIndex
-
-
-def matches(index: FMIndex, text: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matching statistics of the windows' ends, up to ``length``: the windows that reach it with
-    more than one match, and their suffix ranges."""
-    live = np.arange(len(position))
-    i, j = np.zeros(len(position), np.int64), np.full(len(position), index.n, np.int64)
-    for k in range(length - 1, -1, -1):
-        i, j = index.step(text[position[live] + k], i, j)
-        more = j - i > 1
-        live, i, j = live[more], i[more], j[more]
-        if not len(live):
-            break
-    return live, i, j
+from .fm_index import Matcher
 
 
 def finder(length: int):
-    def find(text, frag, position, n, low):
-        hit = np.zeros(len(position), bool)
-        if not len(position):
-            return hit
-        index = FMIndex(text, length)
-        live, i, j = matches(index, text, position, length)
-        if len(live):
-            owner = np.cumsum(text == 0) - (text == 0)  # the fragment of each position
-            ids = low[np.minimum(owner, len(low) - 1)][index.order]
-            start, at = np.unique(i, return_index=True)  # ranges of one length are equal or apart
-            edges = np.stack([start, j[at]], axis=1).ravel()
-            least = np.minimum.reduceat(np.append(ids, R.NO_ID), edges)[::2]
-            hit[live] = least[np.searchsorted(start, i)] < low[frag[live]]
-        return hit
+    def find(shard: R.Shard):
+        first, later = np.zeros(len(shard.position), bool), np.zeros(len(shard.position), bool)
+        if len(shard.position):
+            _, rank = np.unique(shard.low, return_inverse=True)
+            # each position's document; a separator belongs to the fragment before it
+            owner = np.repeat(rank, shard.size + 1)
+            matcher = Matcher(shard.text, owner, length)
+            # a fragment is a stream for its first document and, if there are others, one for those
+            more = np.flatnonzero(shard.low < shard.high)
+            frag = np.concatenate([np.arange(len(rank)), more])
+            limit = np.concatenate([rank, rank[more] + 1])
+            begin = shard.begin[frag]
+            stream, at = matcher.matches(shard.text, begin, begin + shard.size[frag], limit)
+            window = np.full(len(shard.text), -1, np.int64)
+            window[shard.position] = np.arange(len(shard.position))
+            second = stream >= len(rank)
+            first[window[at[~second]]] = True
+            later[window[at[second]]] = True
+        return [(False, first), (True, later)]
 
     return find
 

@@ -5,7 +5,9 @@ Burrows-Wheeler transform derives the common prefixes of neighbouring suffixes b
 and stops at ``length``; suffixes that it doesn't part by then share a string of that length.
 
 Null text counts as empty: no bytes, no spans, the digest of the empty string.  Null ids come back
-null.  Repeated rows are copies of each other.  Other columns are ignored.
+null.  Repeated rows are copies of each other.  Very long texts are cut into overlapping pieces to
+find their fragments.  Ties can't occur, an empty table gives an empty result, other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,19 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays as A
 from . import repeats as R
-from .fm_index import FMIndex
+from .fm_index import FMIndex, suffix_array
 
 
 def finder(length: int):
-    def find(text, frag, position, n, low):
-        if not len(position):
-            return np.zeros(0, bool)
-        index = FMIndex(text, length)
-        group = np.cumsum(index.lengths_below(length)[: index.n] >= 0)
-        of = np.empty(index.n, np.int64)
-        of[index.order] = group
-        g = of[position]
-        return np.bincount(g, weights=n[frag].astype(float), minlength=int(group[-1]) + 1)[g] >= 2
+    def find(shard: R.Shard):
+        if not len(shard.position):
+            return [(False, np.zeros(0, bool))]
+        order = suffix_array(shard.text, length)
+        group = np.cumsum(FMIndex(shard.text, order).lengths_below(length)[: len(order)] >= 0)
+        of = np.empty(len(order), np.int64)
+        of[order] = group
+        g = of[shard.position]
+        return [(False, np.bincount(g, weights=shard.n[shard.frag].astype(float), minlength=int(group[-1]) + 1)[g] >= 2)]
 
     return find
 

@@ -4,13 +4,13 @@
    in a row with one anchor make a fragment.  Anchors depend on a window's content only, so equal
    windows lie in fragments of one anchor, at the same distance from it.
 2. *Anchors.*  Fragments (hashes and positions, no text) are dealt out by anchor; those whose anchor
-   occurs once are done: none of their windows repeats.
-3. *Classes.*  Fragments of equal content are one class with a count, first and last document.  An
-   anchor with a single class needs no search either: its fragment repeats as a whole.
-4. *Search.*  The text of one fragment for each class of the other anchors is fetched; whole anchors
-   are gathered into shards of bounded size, and each shard's index finds the windows that classes
-   share.  An anchor of more than ``most_classes`` classes (a passage in very many contexts) would
-   outgrow a shard: its classes are cut into windows, counted by hash over all tasks.
+   occurs once are done: none of their windows repeats.  Anchors that a sample finds to be frequent
+   are dealt over all parts by document.
+3. *Classes.*  Fragments of equal content are one class with a count, first and last document.
+4. *Search.*  The text of one fragment for each class that may hold a repeat is fetched; whole anchors
+   are gathered into shards of bounded size, and each shard's index says which windows of its classes
+   are repeats.  An anchor of more than ``most_classes`` classes (a passage in very many contexts)
+   would outgrow a shard: its classes are cut into windows, counted by hash over all tasks.
 5. Each document's covered ranges come back by its key.
 
 Null ids get ``NO_ID``, the largest; documents are known by id and a hash of the text, so that rows
@@ -304,8 +304,23 @@ def _shards(batches, unit: Unit):
         yield pa.Table.from_batches([b for b, _ in held]).combine_chunks()
 
 
-def _windows(unit: Unit, buf: np.ndarray, off: np.ndarray):
-    """Symbols (1 and up) of the fragments joined by 0, and of each window: its fragment, its place in it, its position."""
+@dataclass(frozen=True)
+class Shard:
+    """Fragments joined by the symbol 0; other symbols count from 1."""
+
+    text: np.ndarray
+    begin: np.ndarray  # of each fragment in the text
+    size: np.ndarray  # of each fragment, in units
+    n: np.ndarray  # how often each fragment occurs
+    low: np.ndarray  # the first and last document that hold it
+    high: np.ndarray
+    frag: np.ndarray  # of each window: its fragment, its place in it, its position in the text
+    place: np.ndarray
+    position: np.ndarray
+
+
+def _shard(unit: Unit, part: pa.RecordBatch) -> Shard:
+    buf, off = A.utf8(A.column(part, "piece").cast(pa.large_binary()).view(pa.large_string()))
     if unit.name == "byte":
         symbols, uoff = buf.astype(np.int64) + 1, off
     else:
@@ -318,29 +333,29 @@ def _windows(unit: Unit, buf: np.ndarray, off: np.ndarray):
     count = np.maximum(n - unit.length + 1, 0)
     frag = np.repeat(np.arange(len(n)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return text, frag, place, begin[frag] + place
+    return Shard(text, begin, n, *(A.column(part, c).to_numpy() for c in ("n", "low", "high")), frag, place, begin[frag] + place)
 
 
 def search(unit: Unit, find: Callable, wanted: DataFrame) -> DataFrame:
-    """``ah, fh, first, last``: runs of windows of a class for which ``find`` holds."""
+    """``ah, fh, later, first, last``: runs of windows of a class for which ``find`` holds.  It gives the
+    windows' verdicts for all documents of a class (or its first), and for the later ones if they differ."""
 
     def run(batches):
-        for shard in _shards(batches, unit):
-            part = shard.to_batches()[0]
-            buf, off = A.utf8(A.column(part, "piece").cast(pa.large_binary()).view(pa.large_string()))
-            text, frag, place, position = _windows(unit, buf, off)
-            columns = {n: A.column(part, n).to_numpy() for n in ("ah", "fh", "n", "low")}
-            hit = find(text, frag, position, columns["n"], columns["low"])
-            frag, place = frag[hit], place[hit]
-            new = np.ones(len(frag), bool)
-            new[1:] = (frag[1:] != frag[:-1]) | (place[1:] != place[:-1] + 1)
-            f = np.flatnonzero(new)
-            if len(f):
-                last = np.append(f[1:], len(frag)) - 1
-                yield pa.RecordBatch.from_pydict({"ah": columns["ah"][frag[f]], "fh": columns["fh"][frag[f]], "first": place[f].astype(np.int32), "last": place[last].astype(np.int32)})
+        for table_ in _shards(batches, unit):
+            part = table_.to_batches()[0]
+            shard = _shard(unit, part)
+            ah, fh = A.column(part, "ah").to_numpy(), A.column(part, "fh").to_numpy()
+            for later, hit in find(shard):
+                frag, place = shard.frag[hit], shard.place[hit]
+                new = np.ones(len(frag), bool)
+                new[1:] = (frag[1:] != frag[:-1]) | (place[1:] != place[:-1] + 1)
+                f = np.flatnonzero(new)
+                if len(f):
+                    last = np.append(f[1:], len(frag)) - 1
+                    yield pa.RecordBatch.from_pydict({"ah": ah[frag[f]], "fh": fh[frag[f]], "later": np.full(len(f), later), "first": place[f].astype(np.int32), "last": place[last].astype(np.int32)})
 
     n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(A.trimmed(run), "ah bigint, fh bigint, first int, last int")
+    return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(A.trimmed(run), "ah bigint, fh bigint, later boolean, first int, last int")
 
 
 def window_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
@@ -381,33 +396,32 @@ def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool,
     # hot anchors were looked at in parts: what the parts don't know of each other, for a few thousand anchors at most
     whole_hot = classes.where("hot").groupBy("ah").agg((F.count("*") == 1).alias("one"))
     classes = classes.join(F.broadcast(whole_hot), "ah", "left").withColumn("single", F.when(F.col("hot"), F.col("one")).otherwise(F.col("single"))).drop("one", "hot")
-    search_in = classes.where("not single")
-    whole = classes.where("n > 1" if by_count else "low < high")
+    # a class alone at its anchor repeats as a whole, if at all; the index says so of it too
+    search_in = classes.where("NOT single OR n > 1" if by_count else "NOT single OR low < high")
     # counted map-side first; the few anchors of many classes come back by a join
     large = search_in.groupBy("ah").agg(F.count("*").alias("nc")).where(F.col("nc") > unit.most_classes).select("ah", F.lit(True).alias("large"))
     search_in = search_in.join(large, "ah", "left")
-    wanted = search_in.select("ah", "fh", "n", "low", "rep.*", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = search_in.select("ah", "fh", "n", "low", "high", "rep.*", F.coalesce("large", F.lit(False)).alias("large"))
     wanted = table(pieces(keys, wanted, unit), "pieces")
-    found = search(unit, find, wanted.where("not large").select("ah", "fh", "n", "low", "size", "piece"))
+    found = search(unit, find, wanted.where("not large").select("ah", "fh", "n", "low", "high", "size", "piece"))
     # anchors of very many classes: window by window
     rows = window_rows(unit, wanted.where("large").select("ah", "fh", "n", "low", "piece"))
     sums = rows.groupBy("ah", "wh").agg(F.sum("n").alias("all"), F.min("low").alias("lowest")).where("all > 1")
     hits = rows.join(sums, ["ah", "wh"]).where(F.lit(by_count) | (F.col("lowest") < F.col("low")))
     runs = hits.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("ah", "fh").orderBy("place")))
-    runs = runs.groupBy("ah", "fh", "run").agg(F.min("place").alias("first"), F.max("place").alias("last")).drop("run")
-    found = table(found.unionByName(runs), "runs")
-    # back to the documents
-    # equal fragments in a row overlap by more than a window's length, so their ranges are one
+    runs = runs.groupBy("ah", "fh", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    found = found.unionByName(runs.select("ah", "fh", F.lit(False).alias("later"), "first", "last"))
+    if not by_count:
+        copies = wanted.where("large AND low < high")
+        found = found.unionByName(copies.select("ah", "fh", F.lit(True).alias("later"), F.lit(0).alias("first"), (F.col("size") - unit.length).alias("last")))
+    found = table(found, "runs")
+    # back to the documents: equal fragments in a row overlap by more than a window's length, so their ranges are one
     more = (F.col("reps") - 1) * (F.col("size") - unit.length + 1)
     part = found.join(many, ["ah", "fh"])
-    if not by_count:  # in later documents than the class's first all windows repeat
-        part = part.join(classes.select("ah", "fh", "low"), ["ah", "fh"]).where("id = low")
+    if not by_count:  # the first document of a class, or the others
+        part = part.join(classes.where("low < high").select("ah", "fh", "low"), ["ah", "fh"], "left").where(F.col("later") == F.coalesce(F.col("id") > F.col("low"), F.lit(False)))
     part = part.select("id", "th", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + more + F.col("last") + unit.length).alias("end"))
-    all_of = many.join(whole.select("ah", "fh", F.col("low").alias("lowest")), ["ah", "fh"])
-    if not by_count:
-        all_of = all_of.where("id > lowest")
-    all_of = all_of.select("id", "th", F.col("at").alias("start"), (F.col("at") + more + F.col("size")).alias("end"))
-    ranges = part.unionByName(all_of).groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = part.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return table(ranges, "ranges")
 
 
