@@ -324,17 +324,24 @@ def test_op10(docs, rows, none):
     assert op10.substring_dedup(none).count() == 0
 
 
-def test_anchors_of_many_classes_go_window_by_window(docs, rows, monkeypatch):
+@pytest.mark.parametrize("most", [1, 3, 6])
+def test_anchors_of_many_classes_go_by_parts(spark, docs, rows, monkeypatch, most):
     from dataclasses import replace
 
     from tilspark.llm import repeats as R
 
-    make = R.word_unit
-    monkeypatch.setattr(R, "word_unit", lambda n: replace(make(n), most_classes=1))
-    assert by_id(op10.substring_dedup(docs, digests=True)) == brute_words(rows)
-    make_bytes = R.byte_unit
-    monkeypatch.setattr(R, "byte_unit", lambda n: replace(make_bytes(n), most_classes=2, shard_units=500))
-    assert by_id(op5.suffix_dedup(docs, digests=True)) == brute_bytes(rows)
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(rng.choice(["aa", "b", "ccc", "dd", "e"], n))
+    common = word(90)
+    # a passage between texts that may go on alike for some words or letters
+    own = [(1000 + k, f"{word(rng.integers(0, 9))} {common} {word(rng.integers(0, 9))}") for k in range(40)]
+    every = [*rows, *own]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    make, make_bytes = R.word_unit, R.byte_unit
+    monkeypatch.setattr(R, "word_unit", lambda n: replace(make(n), most_classes=most))
+    assert by_id(op10.substring_dedup(df, digests=True)) == brute_words(every)
+    monkeypatch.setattr(R, "byte_unit", lambda n: replace(make_bytes(n), most_classes=most, shard_units=500))
+    assert by_id(op5.suffix_dedup(df, digests=True)) == brute_bytes(every)
 
 
 def test_repeats_in_odd_rows(spark):

@@ -72,6 +72,10 @@ def _long_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = new
 
 
+#: the bits below each bit of a word
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Ranks of symbols in prefixes of a sequence, one packed bit vector for each bit of a symbol."""
 
@@ -90,7 +94,7 @@ class WaveletMatrix:
             self.levels.append((words, before, zeros))
             work = np.concatenate([work[~bit], work[bit]])
         # where the symbols stand after the last level
-        self.first = np.full(int(top) + 2, -1, np.int64)
+        self.first = np.full(int(top) + 2, -1, np.int32)
         if self.n:
             edge = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1]]))
             self.first[work[edge]] = edge
@@ -98,8 +102,7 @@ class WaveletMatrix:
     @staticmethod
     def _ones(words, before, i):
         w = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return before[w] + np.bitwise_count(words[w] & mask)
+        return before[w] + np.bitwise_count(words[w] & _BELOW[i & 63])
 
     def ranks(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
@@ -111,7 +114,7 @@ class WaveletMatrix:
 
     def symbols(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All symbols in the ranges i to j with their ranks at both ends, range by range and unordered."""
-        symbol = np.zeros(len(i), np.int64)
+        symbol = np.zeros(len(i), np.int32)
         for words, before, zeros in self.levels:
             a, b = self._ones(words, before, i), self._ones(words, before, j)
             i0, j0, i1, j1 = i - a, j - b, zeros + a, zeros + b
@@ -128,7 +131,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, order: np.ndarray):
         self.n, top = len(text), int(text.max()) if len(text) else 0
         self.bwt = WaveletMatrix(text[order - 1], top)
-        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))]).astype(np.int32)
 
     def step(self, symbol: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of symbol + pattern, from those of the patterns."""
@@ -147,7 +150,7 @@ class FMIndex:
         """
         out = np.full(self.n + 1, -1, np.int32)
         out[0] = 0
-        i, j = np.array([0], np.int64), np.array([self.n], np.int64)
+        i, j = np.array([0], np.int32), np.array([self.n], np.int32)
         for length in range(depth):
             if not len(i):
                 break

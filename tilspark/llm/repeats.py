@@ -10,7 +10,8 @@
 4. *Search.*  The text of one fragment for each class that may hold a repeat is fetched; whole anchors
    are gathered into shards of bounded size, and each shard's index says which windows of its classes
    are repeats.  An anchor of more than ``most_classes`` classes (a passage in very many contexts)
-   would outgrow a shard: its classes are cut into windows, counted by hash over all tasks.
+   would outgrow a shard: its classes are cut into parts that share nearly a whole window, which
+   leaves few of them to search (``search_parts``).
 5. Each document's covered ranges come back by its key.
 
 Null ids get ``NO_ID``, the largest; documents are known by id and a hash of the text, so that rows
@@ -35,7 +36,9 @@ NO_ID = 2**63 - 1
 #: bits of the filter that tells which documents a join needs; false alarms cost a shuffled row
 FILTER_BITS = 1 << 25
 _POSITION = 26  # bits of a position in a slice
-SLICE_UNITS = 1 << 19
+SLICE_UNITS = 1 << 17  # hashed at a time: they fit a core's cache
+#: windows of a part of a fragment
+PART = 8
 
 
 @dataclass(frozen=True)
@@ -115,9 +118,8 @@ def fragments(unit: Unit, hashes: A.Windows, n: int, uoff: np.ndarray) -> tuple[
     begin = ok[f]
     last = ok[np.append(f[1:], len(ok)) - 1] if len(f) else begin
     # all windows hold the anchor, so the first and the last one overlap: they are the whole content
-    whole = hashes.of(length, 29)
     size = last + length - begin
-    content = A.mix(A.fold(A.fold(whole[begin], whole[last]), size.astype(np.uint64)))
+    content = A.mix(A.fold(A.fold(hashes.at(length, begin, 29), hashes.at(length, last, 29)), size.astype(np.uint64)))
     r = row[begin]
     return r, begin - uoff[r], size, grams[a[f]], content
 
@@ -358,13 +360,60 @@ def search(unit: Unit, find: Callable, wanted: DataFrame) -> DataFrame:
     return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(A.trimmed(run), "ah bigint, fh bigint, later boolean, first int, last int")
 
 
+def part_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
+    """The classes in parts of at most ``PART`` windows, by their distance from the anchor: ``key, sh, ah,
+    fh, n, low, high, shift, size, piece``.
+
+    Windows that are equal lie at the same distance from their anchors, so in parts of one number, and
+    have in common what all windows of such a part hold: ``key`` is the hash of anchor, number and that.
+    ``sh`` is that of the part's content, ``shift`` its place in the class's fragment.
+    """
+    core = unit.length - PART + 1
+
+    def run(batches):
+        for batch in batches:
+            piece = A.column(batch, "piece").cast(pa.large_binary()).view(pa.large_string())
+            for i, k, buf, off in A.sliced(piece, SLICE_UNITS):
+                s, e, _ = unit.split(buf, off)
+                hashes, _, uoff = windows(unit, buf, off)
+                ah = A.column(batch, "ah").to_numpy()[i:k]
+                size = np.diff(uoff)
+                grams = hashes.of(unit.gram, 11)
+                row = A.rows_of(uoff)[: len(grams)]
+                at = np.flatnonzero((grams == ah.view(np.uint64)[row]) & (np.arange(len(grams)) + unit.gram <= uoff[1:][row]))
+                _, first = np.unique(row[at], return_index=True)
+                anchor = at[first] - uoff[:-1]  # the first such gram, in each fragment
+                # windows begin 0 to anchor units before it; parts are counted from the anchor
+                high, low = anchor // PART, (anchor - (size - unit.length)) // PART
+                count = high - low + 1
+                f = np.repeat(np.arange(k - i), count)
+                number = low[f] + np.arange(len(f)) - np.repeat(np.cumsum(count) - count, count)
+                begin = np.maximum(0, anchor[f] - PART * number - PART + 1)
+                last = np.minimum(size[f] - unit.length, anchor[f] - PART * number)
+                base = uoff[:-1][f]
+                inner = hashes.at(core, base + anchor[f] - PART * number, 31)
+                key = A.mix(A.fold(A.fold(ah.view(np.uint64)[f], number.astype(np.uint64)), inner))
+                units = last - begin + unit.length
+                content = A.mix(A.fold(A.fold(hashes.at(unit.length, base + begin, 37), hashes.at(unit.length, base + last, 37)), units.astype(np.uint64)))
+                raw = buf.tobytes()
+                x = s[base + begin]
+                y = base + begin + units if e is None else e[base + begin + units - 1]
+                cols = {c: A.column(batch, c).to_numpy()[i:k][f] for c in ("ah", "fh", "n", "low", "high")}
+                yield pa.RecordBatch.from_pydict({
+                    "key": key.view(np.int64), "sh": content.view(np.int64), **cols, "shift": begin.astype(np.int32), "size": units.astype(np.int32),
+                    "piece": pa.array([raw[u:v] for u, v in zip(x.tolist(), y.tolist())], pa.binary()),
+                })
+
+    return wanted.mapInArrow(A.trimmed(run), "key bigint, sh bigint, ah bigint, fh bigint, n bigint, low bigint, high bigint, shift int, size int, piece binary")
+
+
 def window_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
     """``ah, fh, n, low, place, wh``: every window of the classes, by hash."""
 
     def run(batches):
         for batch in batches:
             piece = A.column(batch, "piece").cast(pa.large_binary()).view(pa.large_string())
-            for i, _, buf, off in A.sliced(piece, 1 << 18):
+            for i, _, buf, off in A.sliced(piece, SLICE_UNITS):
                 hashes, _, uoff = windows(unit, buf, off)
                 wh = hashes.of(unit.length, 23)
                 n = np.maximum(np.diff(uoff) - unit.length + 1, 0)
@@ -376,6 +425,46 @@ def window_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(A.trimmed(run), "ah bigint, fh bigint, n bigint, low bigint, place int, wh bigint")
 
 
+def _with_size(classes: DataFrame, unit: Unit) -> DataFrame:
+    """``classes`` and whether their anchor has more of them than go into a shard: counted map-side
+    first; the few such anchors come back by a join."""
+    large = classes.groupBy("ah").agg(F.count("*").alias("nc")).where(F.col("nc") > unit.most_classes).select("ah", F.lit(True).alias("large"))
+    return classes.join(large, "ah", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+
+
+def search_parts(unit: Unit, find: Callable, wanted: DataFrame, by_count: bool) -> DataFrame:
+    """``search`` for classes whose anchors have too many for a shard.
+
+    They are cut into parts, few of which have anything in common with another; parts are searched like
+    fragments, under their key for an anchor.  Only a key that still has too many parts (one text of
+    nearly a window's length before or after very many different ones) is counted window by window.
+    """
+    parts = table(part_rows(unit, wanted), "parts")
+    found = parts.groupBy(F.col("key").alias("ah"), F.col("sh").alias("fh")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("size").alias("size"), F.first("piece").alias("piece"))
+    several = found.groupBy("ah").agg(F.sum("n").alias("all"), F.min("low").alias("least"), F.max("high").alias("most")).where("all > 1" if by_count else "least < most").select("ah")
+    classes = table(_with_size(found.join(several, "ah"), unit), "part_classes")
+    runs = search(unit, find, classes.where("NOT large").drop("large"))
+    large = classes.where("large")
+    rows = window_rows(unit, large.select("ah", "fh", "n", "low", "piece"))
+    sums = rows.groupBy("ah", "wh").agg(F.sum("n").alias("all"), F.min("low").alias("lowest")).where("all > 1")
+    hits = rows.join(sums, ["ah", "wh"]).where(F.lit(by_count) | (F.col("lowest") < F.col("low")))
+    hits = hits.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("ah", "fh").orderBy("place")))
+    hits = hits.groupBy("ah", "fh", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    runs = runs.unionByName(hits.select("ah", "fh", F.lit(False).alias("later"), "first", "last"))
+    if not by_count:
+        runs = runs.unionByName(large.where("low < high").select("ah", "fh", F.lit(True).alias("later"), F.lit(0).alias("first"), (F.col("size") - unit.length).alias("last")))
+    # back to the classes that the parts are of; a part's first document is not that of all of them
+    back = parts.select(F.col("key"), F.col("sh"), "ah", "fh", F.col("low").alias("own"), F.col("high").alias("own_high"), "shift")
+    runs = runs.join(classes.select("ah", "fh", F.col("low").alias("part_low")), ["ah", "fh"]).select(F.col("ah").alias("key"), F.col("fh").alias("sh"), "later", "first", "last", "part_low")
+    out = runs.join(back, ["key", "sh"])
+    place = [(F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last")]
+    if by_count:
+        return out.select("ah", "fh", "later", *place)
+    # a class whose first document comes after the part's first is a later one of the part's, all of it
+    whole = out.where("later AND own > part_low").select("ah", "fh", F.explode(F.array(F.lit(False), F.lit(True))).alias("later"), *place)
+    return out.where("own = part_low").select("ah", "fh", "later", *place).unionByName(whole)
+
+
 def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool, *, id_col: str, text_col: str) -> DataFrame:
     """``id, th, ranges``: unit ranges (start, end) of the windows that count as repeats.
 
@@ -398,22 +487,12 @@ def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool,
     classes = classes.join(F.broadcast(whole_hot), "ah", "left").withColumn("single", F.when(F.col("hot"), F.col("one")).otherwise(F.col("single"))).drop("one", "hot")
     # a class alone at its anchor repeats as a whole, if at all; the index says so of it too
     search_in = classes.where("NOT single OR n > 1" if by_count else "NOT single OR low < high")
-    # counted map-side first; the few anchors of many classes come back by a join
-    large = search_in.groupBy("ah").agg(F.count("*").alias("nc")).where(F.col("nc") > unit.most_classes).select("ah", F.lit(True).alias("large"))
-    search_in = search_in.join(large, "ah", "left")
-    wanted = search_in.select("ah", "fh", "n", "low", "high", "rep.*", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = _with_size(search_in, unit).select("ah", "fh", "n", "low", "high", "rep.*", "large")
     wanted = table(pieces(keys, wanted, unit), "pieces")
-    found = search(unit, find, wanted.where("not large").select("ah", "fh", "n", "low", "high", "size", "piece"))
-    # anchors of very many classes: window by window
-    rows = window_rows(unit, wanted.where("large").select("ah", "fh", "n", "low", "piece"))
-    sums = rows.groupBy("ah", "wh").agg(F.sum("n").alias("all"), F.min("low").alias("lowest")).where("all > 1")
-    hits = rows.join(sums, ["ah", "wh"]).where(F.lit(by_count) | (F.col("lowest") < F.col("low")))
-    runs = hits.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("ah", "fh").orderBy("place")))
-    runs = runs.groupBy("ah", "fh", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    found = found.unionByName(runs.select("ah", "fh", F.lit(False).alias("later"), "first", "last"))
-    if not by_count:
-        copies = wanted.where("large AND low < high")
-        found = found.unionByName(copies.select("ah", "fh", F.lit(True).alias("later"), F.lit(0).alias("first"), (F.col("size") - unit.length).alias("last")))
+    found = search(unit, find, wanted.where("NOT large").select("ah", "fh", "n", "low", "high", "size", "piece"))
+    large = wanted.where("large").select("ah", "fh", "n", "low", "high", "piece")
+    if not large.isEmpty():
+        found = found.unionByName(search_parts(unit, find, large, by_count))
     found = table(found, "runs")
     # back to the documents: equal fragments in a row overlap by more than a window's length, so their ranges are one
     more = (F.col("reps") - 1) * (F.col("size") - unit.length + 1)
