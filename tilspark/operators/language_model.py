@@ -67,7 +67,11 @@ def discounts(counts: DataFrame) -> DataFrame:
 
 def context_stats(counts: DataFrame, cont: DataFrame, order: int, strict: bool = False) -> DataFrame:
     """``n, ctx, total, n1, n2, n3``: the denominator of each context and how many words follow it once, twice, more often."""
-    follow = counts.where("n > 1").groupBy("n", "ctx").agg(*[F.count_if(p).alias(x) for x, p in (("n1", F.col("c") == 1), ("n2", F.col("c") == 2), ("n3", F.col("c") >= 3))])
+    # of strict models' middle orders, continuation counts are what is discounted
+    grams = counts.where((F.col("n") > 1) & ((F.col("n") == order) | F.lit(not strict)))
+    if strict:
+        grams = grams.unionByName(cont.where((F.col("n") > 1) & (F.col("n") < order)).withColumnRenamed("k", "c"))
+    follow = grams.groupBy("n", "ctx").agg(*[F.count_if(p).alias(x) for x, p in (("n1", F.col("c") == 1), ("n2", F.col("c") == 2), ("n3", F.col("c") >= 3))])
     # raw count of a context: that of the shorter n-gram it is
     whole = F.when(F.col("ctx") == "", F.col("word")).otherwise(F.concat_ws(SEP, "ctx", "word"))
     raw = counts.where(F.col("n") < order).select((F.col("n") + 1).alias("n"), whole.alias("ctx"), F.col("c").alias("raw"))

@@ -45,8 +45,8 @@ def decode_labels(ids: Column, vocab: dict[str, int], *, group: bool = False) ->
     """Text of label ids; ignored ones count as padding and vanish.  ``group`` merges repeats first."""
     by_id = F.create_map(*[F.lit(x) for k, v in vocab.items() for x in (v, k)])
     ids = F.transform(ids, lambda i: F.when(i == IGNORED_LABEL, vocab[PADDING]).otherwise(i))
-    if group:
-        ids = F.filter(ids, lambda x, i: (i == 0) | (x != F.get(ids, i - 1)))
+    if group:  # a lambda's parameter is bound once; the expression would be computed for every id
+        ids = F.element_at(F.transform(F.array(ids), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))), 1)
     shown = F.filter(ids, lambda i: i != vocab[PADDING])
     return T.spoken(F.array_join(F.transform(shown, lambda i: F.coalesce(F.try_element_at(by_id, i), F.lit(""))), ""), WORD_DELIMITER)
 
