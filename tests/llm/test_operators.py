@@ -166,6 +166,19 @@ def test_op2_dedup_of_repeated_rows(spark):
     assert [r for r in rows if r[0] != 9] == sorted([(5, min(t, u, key=h.get), "s"), (None, t, "s"), (None, t, "s"), (11, "so few", "s")], key=str)
 
 
+def test_op2_columns_of_its_own_names(spark):
+    t = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, t, 5, True), (2, t, 6, False), (3, "x", 7, None), (3, "x", 7, None)], "doc_id long, text string, _jaccard_id long, _gone boolean")
+    assert sorted(map(tuple, op2.dedup_documents(df).collect())) == [(1, t, 5, True), (3, "x", 7, None)]
+
+
+@pytest.mark.parametrize("rows_", [1, 5])
+def test_op2_groups_of_too_many_sets_for_their_bitmaps(docs, rows, monkeypatch, rows_):
+    monkeypatch.setattr(op2, "BITMAP_ROWS", rows_)
+    got = {r["id"]: r["component"] for r in op2.jaccard_components(docs).collect()}
+    assert got == linked(rows)
+
+
 def test_op2_lists_longer_than_a_task_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(3)
     # the last entry of list 1 has its partners in the part that went before; list 2 is checked
@@ -214,6 +227,18 @@ def test_op3(spark):
     assert op3.nearest(few, few.where("vec_id = 0")).count() == 3
 
 
+def test_op3_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 30 + [(100 + i, x[7].tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(map(tuple, op3.nearest(df, df.where("vec_id in (0, 7, 100)").distinct()).collect()))
+    own = {i: np.array(v) for i, v in rows}
+    for q in (0, 7, 100):
+        want = sorted((float(np.sqrt(((own[q] - v) ** 2).sum())), i) for i, v in own.items() if i != q)[:10]
+        assert [(i, pytest.approx(d, abs=1e-12)) for _, _, i, d in [g for g in got if g[0] == q]] == [(i, d) for d, i in want]
+
+
 def test_op3_queries_on_centroids(spark, monkeypatch):
     """Lists far above probes: queries on a centroid find as much as others, and none comes back short."""
     rng = np.random.default_rng(8)
@@ -400,6 +425,11 @@ def test_op7(docs, rows, none):
     assert op7.mix_sources(none).count() == 0
 
 
+def test_op7_partitions_hold_consecutive_ranges(docs):
+    parts = op7.mix_sources(docs, total=20.0).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("_mix_key").alias("a"), F.max("_mix_key").alias("b")).orderBy("part").collect()
+    assert len(parts) > 2 and all(x["b"] < y["a"] for x, y in zip(parts, parts[1:]))
+
+
 def test_op7_joins_sources_where_they_are_too_many(docs, monkeypatch):
     key = lambda df: sorted((r["doc_id"], r["_mix_copies"]) for r in df.collect())
     want = key(op7.copies(docs))

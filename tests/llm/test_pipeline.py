@@ -1,3 +1,7 @@
+import hashlib
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -31,7 +35,24 @@ def test_stages(spark, docs, rows, tmp_path):
     one = set(linked(list(kept.items())).values())
     assert {r["doc_id"] for r in seen["jaccard_join"].collect()} == one
     mixed = [r["doc_id"] for r in seen["mix_sources"].collect()]
-    assert set(mixed) <= one
+    # each document as often as the inverted Poisson distribution of its source's mean says
+    source = {i: f"s{i % 3}" if i % 7 else None for i in one}
+    sizes = defaultdict(int)
+    for i in one:
+        sizes[source[i]] += len(kept[i])
+    weights = {x: z**0.5 if z else 0.0 for x, z in sizes.items()}
+    want = Counter()
+    for i in one:
+        z = sizes[source[i]]
+        mean = weights[source[i]] / sum(weights.values()) * sum(sizes.values()) / z if z else 0.0
+        u, p, k = int(hashlib.md5(f"17:{i}:1".encode()).hexdigest()[:13], 16) / 2.0**52, math.exp(-mean), 0
+        total = p
+        while mean and u >= total:
+            k += 1
+            p *= mean / k
+            total += p
+        want[i] = k
+    assert Counter(mixed) == +want
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op8.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     got = sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in seen["byte_bpe"].collect())
     ids = {i: np.array(lib.encode_ordinary(kept[i]), "<u4") for i in set(mixed)}

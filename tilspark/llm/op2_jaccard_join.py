@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .components import components
 from .repeats import NO_ID, id_filter, in_filter, keyed, only
-from .scratch import table
+from .scratch import free_name, table
 
 
 @dataclass(frozen=True)
@@ -100,13 +100,15 @@ def shingle_counts(keys: DataFrame, j: Join) -> np.ndarray:
         parts = total.reshape(-1, 1024)
         for k in range(0, len(parts), 128):
             some = parts[k : k + 128]
-            yield pa.RecordBatch.from_pydict({"part": np.arange(k, k + len(some), dtype=np.int32), "counts": [p.astype("<u8").tobytes() for p in some]})
+            # as wide as the task's counts need
+            wide = "<u2" if total.max() < 1 << 16 else "<u8"
+            yield pa.RecordBatch.from_pydict({"part": np.arange(k, k + len(some), dtype=np.int32), "counts": [p.astype(wide).tobytes() for p in some]})
 
     def add(batches):
         part, total = None, None
         for batch in batches:
             for p, c in zip(A.column(batch, "part").to_pylist(), A.column(batch, "counts").to_pylist()):
-                x = np.frombuffer(c, "<u8")
+                x = np.frombuffer(c, "<u2" if len(c) == 2048 else "<u8").astype(np.uint64)
                 if p == part:
                     total = total + x
                     continue
@@ -166,8 +168,8 @@ def bitmaps(h: np.ndarray, hoff: np.ndarray) -> list[bytes]:
     return out
 
 
-#: a group of more sets goes on without a look at its bitmaps
-BITMAP_ROWS = 1 << 15
+#: a group of more sets goes on without a look at its bitmaps, which would be gathered in one task
+BITMAP_ROWS = 1 << 12
 
 
 def _fold(bits: bytes, length: int) -> np.ndarray:
@@ -436,8 +438,12 @@ def near_members(members: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     p = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # an id with several texts has a bitmap for each: its sets are looked at one by one
     known = sets.select("id", F.col("size").cast("int").alias("size"), "bits")
-    rows = members.select("pivot", "id").join(known, "id").repartition(p, "pivot").sortWithinPartitions("pivot")
-    return rows.mapInArrow(A.trimmed(run), "pivot bigint, id bigint, size int").groupBy("pivot", "id").agg(F.sum("size").alias("size"))
+    count = members.groupBy("pivot").agg(F.count("*").alias("m"))
+    large = F.coalesce(F.col("m") > BITMAP_ROWS, F.lit(False))
+    members = members.select("pivot", "id").join(count.where(F.col("m") > BITMAP_ROWS), "pivot", "left").join(known, "id")
+    rows = members.where(~large).select("pivot", "id", "size", "bits").repartition(p, "pivot").sortWithinPartitions("pivot")
+    near = rows.mapInArrow(A.trimmed(run), "pivot bigint, id bigint, size int").unionByName(members.where(large).select("pivot", "id", "size"))
+    return near.groupBy("pivot", "id").agg(F.sum("size").alias("size"))
 
 
 def group_members(alive: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
@@ -476,18 +482,19 @@ def dedup_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id"
     """One document of each component, that of the smallest id, all columns unchanged.  Of rows with
     one id the first by text hash stays, and one of equal rows; rows without id all stay."""
     found = jaccard_components(docs, j, id_col=id_col, text_col=text_col)
+    key, gone, row = (free_name(docs, f"_jaccard_{x}") for x in ("id", "gone", "row"))
     ids = found.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n"))
-    ids = table(ids.where("component < id OR n > 1").select(F.col("id").alias("_id"), (F.col("component") < F.col("id")).alias("_gone")), "ids")
+    ids = table(ids.where("component < id OR n > 1").select(F.col("id").alias(key), (F.col("component") < F.col("id")).alias(gone)), "ids")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(ids, F.col(id_col) == F.col("_id"), "left_anti").select(*names)
-    repeated = ids.where("NOT _gone")
+    single = docs.join(ids, F.col(id_col) == F.col(key), "left_anti").select(*names)
+    repeated = ids.where(~F.col(gone))
     if repeated.isEmpty():
         return single
     # a buffer holds one row, and equal ids are merged before they are sent
     first = F.struct(F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.col(text_col), F.xxhash64(*names))
-    rows = docs.join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
-    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*names), first).alias("_row"))
-    return single.unionByName(rows.select("_row.*"))
+    rows = docs.join(repeated, F.col(id_col) == F.col(key), "left_semi")
+    rows = rows.groupBy(F.col(id_col).alias(key)).agg(F.min_by(F.struct(*names), first).alias(row))
+    return single.unionByName(rows.select(f"{row}.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,16 @@ are asked again of eight times as many lists, at last of all.  Candidates are me
 precision on the original vectors; each list part keeps a query's ``k`` best, and a second
 aggregation the best of all parts.
 
-Equal vectors are searched once: they are one class, held in the index with their smallest ids (a
-query's answer can hold no more than ``k`` + 1 of them), so a vector that a third of all rows share
-is one entry and one query.  Vectors that are null or zero, hold null or non-finite components or
+Equal vectors are searched once: they are one class (by a 128-bit digest), held in the index with
+their smallest ids (a query's answer can hold no more than ``k`` + 1 of them), so a vector that a
+third of all rows share is one entry and one query.  Repeated rows of one id count once; ties go to
+the smaller id; a vector of any length is read whole; other columns are ignored.  Vectors that are null or zero, hold null or non-finite components or
 have another length than most take no part.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,17 +57,67 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
 
 
-def classes_of(rows: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """``cid, vector, ids``: each distinct vector with its smallest id and its k + 1 smallest ids."""
+def keyed_vectors(rows: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """``key, vector, ids``: the usable vectors with a 128-bit digest; equal ones of a batch are one row
+    with their k + 1 smallest ids."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
-    rows = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), v.alias("vector"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    # the smallest ids of each class, in two steps that a very large class is dealt over
-    for keys in (["vector", "salt"], ["vector"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-        rows = rows.withColumn("r", rank).where(F.col("r") <= k + 1).drop("r")
-    out = rows.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return out.select(F.element_at("ids", 1).alias("cid"), "vector", "ids")
+    rows = A.small_batches(rows).where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), v.alias("vector"))
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            vector = A.column(batch, "vector")
+            off = vector.offsets.to_numpy()
+            raw = memoryview(np.ascontiguousarray(vector.values.to_numpy(zero_copy_only=False))).cast("B")
+            groups: dict[bytes, list[int]] = {}
+            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                groups.setdefault(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest(), []).append(i)
+            ids = A.column(batch, "id").to_numpy()
+            few = [sorted(set(ids[g].tolist()))[: k + 1] if len(g) > 1 else [int(ids[g[0]])] for g in groups.values()]
+            first = vector.take(pa.array([g[0] for g in groups.values()]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.binary()), first, pa.array(few, pa.list_(pa.int64()))], ["key", "vector", "ids"])
+
+    return rows.mapInArrow(A.trimmed(run), "key binary, vector array<double>, ids array<bigint>")
+
+
+def classes_of(rows: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """``key, cid, vector, ids``: each distinct vector with its smallest id and its k + 1 smallest ids.
+
+    Vectors are shuffled once, by digest; a class comes as at most one row from each batch, and its
+    rows are merged as they pass.
+    """
+
+    def run(batches):
+        held = None
+
+        def out(table_, last):
+            """The classes of all rows, but for the last one if it may go on."""
+            keys = A.column(table_, "key").to_pylist()
+            cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            ids = A.column(table_, "ids")
+            merged = [ids[a].as_py() if b - a == 1 else sorted(set(x for i in range(a, b) for x in ids[i].as_py()))[: k + 1] for a, b in zip(cut[:-1], cut[1:])]
+            first = table_.take(pa.array(cut[:-1]))
+            done = pa.RecordBatch.from_arrays([A.column(first, "key"), A.column(first, "vector"), pa.array(merged, pa.list_(pa.int64()))], ["key", "vector", "ids"])
+            return (done, None) if last else (done.slice(0, len(done) - 1), done.slice(len(done) - 1))
+
+        def shaped(done):
+            return pa.RecordBatch.from_arrays([A.column(done, "key"), pa.array([x[0] for x in A.column(done, "ids").to_pylist()], pa.int64()), A.column(done, "vector"), A.column(done, "ids")], ["key", "cid", "vector", "ids"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch.cast(held.schema)])
+            done, held = out(batch, False)
+            if len(done):
+                yield shaped(done)
+        if held is not None and len(held):
+            yield shaped(held)
+
+    p = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed_vectors(rows, k, id_col, vector_col).repartition(p, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(A.trimmed(run), "key binary, cid bigint, vector array<double>, ids array<bigint>")
 
 
 def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -191,13 +243,12 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(near[r, c].astype(np.int32)), A.column(taken, "cid"), A.column(taken, "vector"), A.column(taken, "ids")], ["list", "cid", "vector", "ids"])
 
     vector = "vector array<double>"
-    postings = table(all_classes.mapInArrow(assign, f"list int, cid bigint, {vector}, ids array<bigint>"), "postings")
+    postings = table(all_classes.mapInArrow(A.trimmed(assign), f"list int, cid bigint, {vector}, ids array<bigint>"), "postings")
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / index.list_rows).cast("int").alias("parts"))  # at most max_lists rows
 
-    wanted = queries.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
-        F.col(id_col).cast("bigint").alias("query_id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("vector")
-    ).where(F.size("vector") == dim)
-    wanted = table(wanted.join(all_classes.select("cid", "vector"), "vector", "left").select("query_id", "vector", F.coalesce("cid", -F.col("query_id") - 1).alias("cid")), "queries")
+    wanted = keyed_vectors(queries, 2**31, id_col, vector_col).where(F.size("vector") == dim).select("key", "vector", F.explode("ids").alias("query_id"))
+    known = wanted.join(all_classes.select("key", "cid"), "key", "left")  # digests meet, not vectors
+    wanted = table(known.select("query_id", "vector", F.coalesce("cid", -F.col("query_id") - 1).alias("cid")), "queries")
     asked = wanted.groupBy("cid").agg(F.first("vector").alias("vector"))
 
     def route(wide):
@@ -229,11 +280,26 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(some, wide=None):
-        routed = some.mapInArrow(route(wide), f"list int, cid bigint, {vector}").join(F.broadcast(parts), "list")
+        routed = some.mapInArrow(A.trimmed(route(wide)), f"list int, cid bigint, {vector}").join(F.broadcast(parts), "list")
         routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         both = held.select("list", "part", F.lit(0).alias("kind"), "cid", "vector", "ids").unionByName(routed.select("list", "part", F.lit(1).alias("kind"), "cid", "vector", F.expr("cast(array() as array<bigint>)").alias("ids")))
         dealt = both.repartition(p, "list", "part").sortWithinPartitions("list", "part", "kind")
-        return dealt.mapInArrow(measure, "query bigint, cid bigint, ids array<bigint>, score double")
+        return dealt.mapInArrow(A.trimmed(measure), "query bigint, cid bigint, ids array<bigint>, score double")
+
+    def top_of(x, mat, cid):
+        """Rows of x, their k + 1 nearest of mat (one may be the query's own class) and the distances.
+        Products choose generously, differences decide."""
+        m = min(index.k + 1, len(mat))
+        rough = _near(x, mat)
+        slack = 1e-10 * ((x * x).sum(1) + (mat * mat).sum(1).max())
+        limit = np.partition(rough, m - 1, axis=1)[:, m - 1] + slack
+        r, c = np.nonzero(rough <= limit[:, None])
+        diff = mat[c] - x[r]
+        d = np.sqrt((diff * diff).sum(1))
+        order = np.lexsort((cid[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < m
+        return r[keep], c[keep], d[keep]
 
     def measure(batches):
         key, x, cid, ids = None, [], [], []
@@ -242,7 +308,6 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
             cols = [A.column(batch, c).to_numpy(zero_copy_only=False) for c in ("list", "part", "kind", "cid")]
             vec = _matrix(A.column(batch, "vector"))
             held_ids = A.column(batch, "ids")
-            out = {"query": [], "cid": [], "ids": [], "score": []}
             cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(vec)]):
                 if a == b:
@@ -251,29 +316,18 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
                 if here != key:
                     key, x, cid, ids, mat = here, [], [], [], None
                 if cols[2][a] == 0:
-                    x.append(vec[a:b])
-                    cid.append(cols[3][a:b])
-                    ids.extend(held_ids.slice(a, b - a).to_pylist())
+                    x.append(vec[a:b].copy())
+                    cid.append(cols[3][a:b].copy())
+                    ids.append(held_ids.slice(a, b - a))
                     mat = None
                     continue
                 if not x:
                     continue
                 if mat is None:
-                    mat, all_cid = np.concatenate(x), np.concatenate(cid)
-                for r in range(a, b):
-                    diff = mat - vec[r]
-                    d = np.sqrt((diff * diff).sum(1))
-                    # of classes, k + 1 are enough: one may be the query's own alone
-                    m = min(index.k + 1, len(d))
-                    limit = np.partition(d, m - 1)[m - 1]
-                    top = np.flatnonzero(d <= limit)
-                    top = top[np.lexsort((all_cid[top], d[top]))][:m]
-                    out["query"] += [int(cols[3][r])] * m
-                    out["cid"] += all_cid[top].tolist()
-                    out["ids"] += [ids[t] for t in top.tolist()]
-                    out["score"] += d[top].tolist()
-            if out["query"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["query"], pa.int64()), pa.array(out["cid"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["score"], pa.float64())], list(out))
+                    mat, all_cid, all_ids = np.concatenate(x), np.concatenate(cid), pa.concat_arrays(ids)
+                for i in range(a, b, 256):
+                    r, c, d = top_of(vec[i : min(b, i + 256)], mat, all_cid)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[3][i + r]), pa.array(all_cid[c]), all_ids.take(pa.array(c)), pa.array(d)], ["query", "cid", "ids", "score"])
 
     def best(found):  # classes of each query's class
         found = found.groupBy("query", "cid").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))

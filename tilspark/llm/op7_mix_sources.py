@@ -7,7 +7,7 @@ recomputed task gives the same copies.  The copies are dealt out in the order of
 global shuffle in which neither a large source nor a much repeated document meets in one task.
 
 Null source is a source of its own; null text weighs 0; repeated rows get the same number of copies
-each; null ids hash as such; an empty table gives an empty result.  A source of weight 0 or size 0
+each; null ids hash as such; very long texts only count by their length; an empty table gives an empty result.  A source of weight 0 or size 0
 has no copies.  Columns whose names begin with ``_mix`` are the operator's.
 """
 
@@ -80,13 +80,15 @@ def copies(docs: DataFrame, targets: dict[str, float] | None = None, *, seed: in
 
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, *, seed: int = 17, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixture: each document as often as drawn, with ``_mix_copy`` (from 1) and ``_mix_key``, the
-    place in the global order; partitions hold consecutive keys, each sorted."""
+    place in the global order; the partitions hold consecutive ranges of keys, each sorted."""
     out = copies(docs, targets, seed=seed, id_col=id_col, **options).where("_mix_copies > 0")
     out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     place = F.md5(F.concat_ws(":", F.lit(seed + 1), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_mix_copy").cast("string")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the hash is uniform, so its leading digits range-partition it evenly without a sampling pass
-    return out.withColumn("_mix_key", place).repartition(n, F.substring("_mix_key", 1, 3)).sortWithinPartitions("_mix_key")
+    # the hash is uniform: consecutive ranges of it are even without a sampling pass
+    begin = F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    out = out.withColumn("_mix_key", place).withColumn("_mix_range", F.floor(begin * n).cast("int"))
+    return out.repartitionById(n, "_mix_range").sortWithinPartitions("_mix_key").drop("_mix_range")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import table
+from .scratch import free_name, table
 
 #: stripped at both ends of a line, and nothing else
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -86,18 +86,10 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return words.groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
-def _free(name: str, docs: DataFrame) -> str:
-    """The name, or the first longer one that is no column of ``docs``."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def with_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> tuple[DataFrame, str]:
     """All rows and columns of ``docs`` and a column of keep bitmaps (null: the document loses no line);
     and that column's name."""
-    key, digest, keep = (_free(f"_line_dedup_{x}", docs) for x in ("id", "hash", "keep"))
+    key, digest, keep = (free_name(docs, f"_line_dedup_{x}") for x in ("id", "hash", "keep"))
     bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).toDF(key, digest, keep)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     on = (F.col(id_col) == F.col(key)) & (F.xxhash64(text) == F.col(digest))

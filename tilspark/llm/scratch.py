@@ -20,8 +20,21 @@ def folder(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: its lineage ends here, and any executor can read it."""
+    """``df`` written as Parquet and read again: its lineage ends here, and any executor can read it.
+    The folder goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    df.write.option("compression", "zstd").parquet(f"{own}/data")
+    return spark.read.schema(df.schema).parquet(f"{own}/data")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or the first longer one that is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
