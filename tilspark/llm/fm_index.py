@@ -82,7 +82,7 @@ class WaveletMatrix:
     def __init__(self, seq: np.ndarray, top: int):
         self.n, self.bits = len(seq), max(1, int(top).bit_length())
         self.levels = []
-        work = seq.astype(np.int64)
+        work = seq.astype(np.int32)
         for b in range(self.bits - 1, -1, -1):
             bit = ((work >> b) & 1).astype(bool)
             padded = np.zeros((self.n // 64 + 2) * 64, bool)

@@ -324,12 +324,14 @@ class Shard:
 def _shard(unit: Unit, part: pa.RecordBatch) -> Shard:
     buf, off = A.utf8(A.column(part, "piece").cast(pa.large_binary()).view(pa.large_string()))
     if unit.name == "byte":
-        symbols, uoff = buf.astype(np.int64) + 1, off
+        seen = np.zeros(256, bool)  # as few symbols as there are, so as few levels of the index
+        seen[buf] = True
+        symbols, uoff = np.cumsum(seen, dtype=np.int32)[buf], off
     else:
         s, e, uoff = A.words(buf, off)
-        symbols = np.unique(A.span_hashes(buf, s, e), return_inverse=True)[1].astype(np.int64) + 1
+        symbols = np.unique(A.span_hashes(buf, s, e), return_inverse=True)[1].astype(np.int32) + 1
     n = np.diff(uoff)
-    text = np.zeros(len(symbols) + len(n), np.int64)
+    text = np.zeros(len(symbols) + len(n), np.int32)
     begin = uoff[:-1] + np.arange(len(n))
     text[np.arange(len(symbols)) + np.repeat(np.arange(len(n)), n)] = symbols
     count = np.maximum(n - unit.length + 1, 0)
