@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset (one machine, tests) a temporary
-    folder is set."""
+    """A new path under ``spark.checkpoint.dir``, removed when the driver ends; where that is unset (one
+    machine, tests) a temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tables-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    own = f"{base}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{own}/data"
 
 
 def spread(df: DataFrame, least_rows: int = 256) -> DataFrame:
