@@ -227,6 +227,21 @@ def test_op3(spark):
     assert op3.nearest(few, few.where("vec_id = 0")).count() == 3
 
 
+def test_op3_recall_with_far_more_lists_than_probes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 16)) + 2 * rng.normal(size=(40, 16))[rng.integers(40, size=6000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    index = op3.Index(list_size=6, max_lists=1000, sample=2400)  # 2.4 sampled rows a list, as in a large table
+    got = defaultdict(set)
+    for r in op3.nearest(df, df.where("vec_id % 100 = 0"), index).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        hits += len(got[q] & {int(i) for i in np.argsort(d)[:11] if i != q})
+    assert hits >= 0.9 * 600
+
+
 def test_op3_repeated_rows_count_once(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 8)).round(3)

@@ -340,25 +340,23 @@ def group_links(members: DataFrame, keys: DataFrame, j: Join) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            want = A.column(batch, "want").to_pylist()
-            ids = A.column(batch, "id").to_pylist()
+            want = A.column(batch, "want")
+            woff = np.concatenate([[0], np.cumsum(want.value_lengths().to_numpy())])
+            pivot, blocks, block = (x.to_numpy().astype(np.int64) for x in pa.RecordBatch.from_struct_array(want.flatten()).columns)
+            ids = A.column(batch, "id").to_numpy()
             for i, k, buf, off in A.sliced(A.column(batch, "text"), 1 << 19):
                 h, hoff = sets_of(buf, off, j.n)
-                out = {"pivot": [], "tile": [], "id": [], "tokens": []}
-                for r in range(i, k):
-                    tokens = h[hoff[r - i] : hoff[r - i + 1]].tobytes()
-                    for w in want[r]:
-                        n, b = w["blocks"], w["block"]
-                        for other in range(n):
-                            out["pivot"].append(w["pivot"])
-                            out["tile"].append(min(b, other) * n + max(b, other))
-                            out["id"].append(ids[r])
-                            out["tokens"].append(tokens)
-                            if len(out["id"]) == 512:
-                                yield pa.RecordBatch.from_arrays([pa.array(out["pivot"], pa.int64()), pa.array(out["tile"], pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["tokens"], pa.binary())], list(out))
-                                out = {c: [] for c in out}
-                if out["id"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["pivot"], pa.int64()), pa.array(out["tile"], pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["tokens"], pa.binary())], list(out))
+                sets = pa.Array.from_buffers(pa.large_binary(), k - i, [None, pa.py_buffer((hoff * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
+                row = np.repeat(np.arange(k - i), np.diff(woff[i : k + 1]))
+                # a set goes to its block's tile with each block of the group
+                n = blocks[woff[i] : woff[k]]
+                each = np.repeat(np.arange(len(n)), n)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                own, n, at, row = block[woff[i] : woff[k]][each], n[each], pivot[woff[i] : woff[k]][each], row[each]
+                tile = np.minimum(own, other) * n + np.maximum(own, other)
+                for a in range(0, len(row), 256):
+                    some = slice(a, a + 256)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(tile[some]), pa.array(ids[i + row[some]]), sets.take(pa.array(row[some])).cast(pa.binary())], ["pivot", "tile", "id", "tokens"])
 
     def answer(batches):
         key, ids, tokens = None, [], []
@@ -386,7 +384,7 @@ def group_links(members: DataFrame, keys: DataFrame, j: Join) -> DataFrame:
         yield flush()
 
     p = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = joined.mapInArrow(A.trimmed(deal), "pivot bigint, tile int, id bigint, tokens binary")
+    dealt = joined.mapInArrow(A.trimmed(deal), "pivot bigint, tile bigint, id bigint, tokens binary")
     return dealt.repartition(p, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(A.trimmed(answer), "a bigint, b bigint")
 
 
