@@ -166,6 +166,41 @@ def test_op2_dedup_of_repeated_rows(spark):
     assert [r for r in rows if r[0] != 9] == sorted([(5, min(t, u, key=h.get), "s"), (None, t, "s"), (None, t, "s"), (11, "so few", "s")], key=str)
 
 
+def near_copies(n: int, families: int = 2) -> list[tuple[int, str]]:
+    """Copies of a text with edits, some of them further and further from it."""
+    rng = np.random.default_rng(6)
+    out = []
+    for f in range(families):
+        base = [f"w{f}x{k}" for k in range(120)]
+        for k in range(n):
+            w = list(base)
+            for p in rng.choice(120, [1, 2, 3, 5, 8][k % 5], replace=False):
+                w[p] = f"edit{f}x{k}x{p}"
+            out.append((f * 10_000 + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("tokens", [300, 1500, 6000])
+def test_op2_groups_of_many_blocks(spark, tokens):
+    data = near_copies(60)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = linked(data)
+    assert 3 < len(set(want.values())) < 100
+    assert {r["id"]: r["component"] for r in op2.jaccard_components(df, op2.Join(tile_tokens=tokens)).collect()} == want
+
+
+def test_op2_sends_a_group_of_copies_once(spark, monkeypatch):
+    data = [(i, t) for i, t in near_copies(200, 1) if i % 5 < 2]  # all near the text they come from
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    sent = []
+    real = op2.group_links
+    monkeypatch.setattr(op2, "group_links", lambda members, keys, j: sent.append(members.agg(F.sum("count"), F.max("count")).first()) or real(members, keys, j))
+    got = {r["component"] for r in op2.jaccard_components(df, op2.Join(tile_tokens=1500)).collect()}
+    assert got == {0}
+    blocks = sent[0][1]
+    assert blocks > 3 and sum(total for total, _ in sent) <= 5 * len(data)  # not the number of blocks for each set
+
+
 def test_op2_columns_of_its_own_names(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(1, t, 5, True), (2, t, 6, False), (3, "x", 7, None), (3, "x", 7, None)], "doc_id long, text string, _jaccard_id long, _gone boolean")

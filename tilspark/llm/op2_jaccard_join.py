@@ -12,8 +12,9 @@ A document's set: the hashes of its distinct ``n``-word shingles.
 4. *Groups.*  In each list, the set that shares the most with others is the pivot, and every
    candidate pair of the list lies in its group.  Before any set is sent, a group is held together
    by parity bitmaps: bits in which two differ are a lower bound of the shingles in which
-   the sets differ, so a set that is too far from all others of its group leaves it.  A group of more than ``tile_tokens`` shingles is
-   cut into blocks, each pair of which is a task's work, so no group grows past a task.
+   the sets differ, so a set that is too far from all others of its group leaves it.  A group of more
+   than ``tile_tokens`` shingles is cut into blocks; each set meets its block and the group's hub, and
+   only sets that this doesn't join to the hub meet the other blocks.  No group grows past a task.
 5. *Answers.*  A group keeps lists from shingle to rows.  The overlaps of the pivot with all rows are
    counted from its lists; those of a set similar to it are derived from the pivot's by the lists of
    the shingles in which the two differ.  Links that join two components are kept.
@@ -299,16 +300,19 @@ class Group:
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return np.bincount(self.rows[at], minlength=len(self.ids))
 
-    def links(self) -> list[tuple[int, int]]:
+    def links(self, settled: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links that join the components of the rows, and each row's component.  Settled rows are in one
+        component already; answers are made for the others."""
         m = len(self.ids)
         label = np.arange(m)
-        parts, out = m, []
+        label[settled] = np.argmax(settled)
+        parts, out = m - max(0, int(settled.sum()) - 1), []
         pivot = int(np.argmax(self.weight / self.size))
         of = lambda k: self.tok[self.toff[k] : self.toff[k + 1]]
         mine = np.sort(of(pivot))
         base = self._count(mine)
         order = np.argsort(-base, kind="stable")
-        for k in order.tolist():
+        for k in order[~settled[order]].tolist():
             t = of(k)
             if k == pivot:
                 overlap = base
@@ -330,62 +334,108 @@ class Group:
                 parts -= len(found) - 1
                 if parts == 1:
                     break
-        return out
+        return out, label
 
 
 def group_links(members: DataFrame, keys: DataFrame, j: Join) -> DataFrame:
-    """``a, b``: links that join the components of each group.  ``members``: ``pivot, id, blocks, block``."""
-    by_doc = members.groupBy("id").agg(F.collect_list(F.struct("pivot", "blocks", "block")).alias("want"))
+    """``a, b, pivot``: links that join the components of each tile, and with null ``b`` the sets of a tile
+    that no link joins to its ``hub``.
+
+    ``members``: ``pivot, id, hub, settled, first, step, count``; a set goes to ``count`` tiles of its
+    group, from ``first`` on at a distance of ``step``.
+    """
+    by_doc = members.groupBy("id").agg(F.collect_list(F.struct("pivot", "hub", "settled", "first", "step", "count")).alias("want"))
     joined = only(keys, members.select("id")).join(by_doc, "id").select("id", "text", "want")
 
     def deal(batches):
         for batch in batches:
             want = A.column(batch, "want")
             woff = np.concatenate([[0], np.cumsum(want.value_lengths().to_numpy())])
-            pivot, blocks, block = (x.to_numpy().astype(np.int64) for x in pa.RecordBatch.from_struct_array(want.flatten()).columns)
+            flat = pa.RecordBatch.from_struct_array(want.flatten())
+            first, step, count = (A.column(flat, c).to_numpy() for c in ("first", "step", "count"))
             ids = A.column(batch, "id").to_numpy()
             for i, k, buf, off in A.sliced(A.column(batch, "text"), 1 << 19):
                 h, hoff = sets_of(buf, off, j.n)
                 sets = pa.Array.from_buffers(pa.large_binary(), k - i, [None, pa.py_buffer((hoff * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
                 row = np.repeat(np.arange(k - i), np.diff(woff[i : k + 1]))
-                # a set goes to its block's tile with each block of the group
-                n = blocks[woff[i] : woff[k]]
+                n = count[woff[i] : woff[k]]
                 each = np.repeat(np.arange(len(n)), n)
-                other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                own, n, at, row = block[woff[i] : woff[k]][each], n[each], pivot[woff[i] : woff[k]][each], row[each]
-                tile = np.minimum(own, other) * n + np.maximum(own, other)
+                w = woff[i] + each
+                tile = first[w] + step[w] * (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
+                row = row[each]
                 for a in range(0, len(row), 256):
                     some = slice(a, a + 256)
-                    yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(tile[some]), pa.array(ids[i + row[some]]), sets.take(pa.array(row[some])).cast(pa.binary())], ["pivot", "tile", "id", "tokens"])
+                    own = flat.take(pa.array(w[some]))
+                    yield pa.RecordBatch.from_arrays(
+                        [A.column(own, "pivot"), pa.array(tile[some]), pa.array(ids[i + row[some]]), A.column(own, "hub"), A.column(own, "settled"), sets.take(pa.array(row[some])).cast(pa.binary())],
+                        ["pivot", "tile", "id", "hub", "settled", "tokens"],
+                    )
 
     def answer(batches):
-        key, ids, tokens = None, [], []
-        edges: list[tuple[int, int]] = []
+        key, hub, rows = None, None, []
+        out: list[tuple[int, int | None, int]] = []
 
         def done():
-            if len(ids) > 1:
-                size = np.array([len(t) // 8 for t in tokens])
-                edges.extend(Group(np.array(ids, np.int64), np.frombuffer(b"".join(tokens), np.uint64), np.concatenate([[0], np.cumsum(size)]), j.percent).links())
+            if not rows or (len(rows) == 1 and hub is None):
+                return
+            ids = np.array([r[0] for r in rows], np.int64)
+            size = np.array([len(r[2]) // 8 for r in rows])
+            group = Group(ids, np.frombuffer(b"".join(r[2] for r in rows), np.uint64), np.concatenate([[0], np.cumsum(size)]), j.percent)
+            edges, label = group.links(np.array([r[1] for r in rows], bool))
+            out.extend((a, b, key[0]) for a, b in edges if a != b)
+            if hub is not None:
+                near = np.isin(label, label[ids == hub])
+                out.extend((i, None, key[0]) for i in ids[~near].tolist())
 
         def flush():
-            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+            cols = [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", "pivot"])
 
         for batch in batches:
-            for p, t, i, x in zip(*(A.column(batch, c).to_pylist() for c in ("pivot", "tile", "id", "tokens"))):
+            for p, t, i, h, s, x in zip(*(A.column(batch, c).to_pylist() for c in ("pivot", "tile", "id", "hub", "settled", "tokens"))):
                 if (p, t) != key:
                     done()
-                    key, ids, tokens = (p, t), [], []
-                ids.append(i)
-                tokens.append(x)
-            if len(edges) > 5000:
+                    key, hub, rows = (p, t), h, []
+                rows.append((i, s, x))
+            if len(out) > 5000:
                 yield flush()
-                edges.clear()
+                out.clear()
         done()
         yield flush()
 
     p = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = joined.mapInArrow(A.trimmed(deal), "pivot bigint, tile bigint, id bigint, tokens binary")
-    return dealt.repartition(p, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(A.trimmed(answer), "a bigint, b bigint")
+    dealt = joined.mapInArrow(A.trimmed(deal), "pivot bigint, tile bigint, id bigint, hub bigint, settled boolean, tokens binary")
+    return dealt.repartition(p, "pivot", "tile").sortWithinPartitions("pivot", "tile").mapInArrow(A.trimmed(answer), "a bigint, b bigint, pivot bigint")
+
+
+def all_links(members: DataFrame, keys: DataFrame, j: Join) -> DataFrame:
+    """``a, b``: links that join the components of each group.  ``members``: ``pivot, id, size, blocks,
+    block, hub``.
+
+    First every set meets its own block and the group's hub.  Sets that this joins to the hub are one
+    component, whatever links there are between them; only the others meet all blocks.  So a group of
+    copies of one text sends each set once or twice, however large it is.
+    """
+    zero, one, no = F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.lit(False)
+    many = F.col("blocks") > 1
+    is_hub = many & (F.col("id") == F.col("hub"))
+    start = members.select(
+        "pivot", "id", F.when(many, F.col("hub")).alias("hub"), no.alias("settled"),
+        F.when(is_hub, zero).otherwise(F.col("block")).cast("bigint").alias("first"), one.alias("step"), F.when(is_hub, F.col("blocks")).otherwise(1).cast("bigint").alias("count"),
+    )
+    found = table(group_links(start, keys, j), "links")
+    links = found.where("b IS NOT NULL").select("a", "b")
+    rest = found.where("b IS NULL").select("pivot", F.col("a").alias("id")).distinct()
+    if rest.isEmpty():
+        return links
+    rest = members.join(rest.withColumn("rest", F.lit(True)), ["pivot", "id"], "left").withColumn("rest", F.coalesce("rest", no))
+    rows = F.ceil(F.sum(F.when(F.col("rest"), F.col("size"))) / j.tile_tokens).cast("bigint")
+    rest = table(rest.join(rest.groupBy("pivot").agg(rows.alias("bands")).where("bands > 0"), "pivot"), "rest")
+    columns = lambda settled, first, step, count: ["pivot", "id", F.lit(None).cast("bigint").alias("hub"), settled.alias("settled"), first.cast("bigint").alias("first"), step.cast("bigint").alias("step"), count.cast("bigint").alias("count")]
+    band = F.pmod(F.xxhash64("id", F.lit(5)), F.col("bands"))
+    here = rest.select(*columns(~F.col("rest"), F.col("block"), F.col("blocks"), F.col("bands")))
+    away = rest.where("rest").select(*columns(no, band * F.col("blocks"), one, F.col("blocks")))
+    return links.unionByName(group_links(here.unionByName(away), keys, j).where("b IS NOT NULL").select("a", "b"))
 
 
 def _split(keys: DataFrame, bits, inside: bool) -> DataFrame:
@@ -445,15 +495,14 @@ def near_members(members: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
 
 
 def group_members(alive: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
-    """``pivot, id, blocks, block``: each list's sets under the list's pivot, once for each pivot."""
+    """``pivot, id, size, blocks, block, hub``: each list's sets under the list's pivot, once for each pivot."""
     score = alive.groupBy("id").agg((F.sum("len") / F.max("size")).alias("score"))
     pivots = alive.select("token", "id").join(score, "id").groupBy("token").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("pivot"))
     members = alive.select("token", "id", "size").join(pivots, "token").groupBy("pivot", "id").agg(F.max("size").alias("size"))
     members = table(near_members(members, sets, j), "members")
-    total = members.groupBy("pivot").agg(F.sum("size").alias("total"))
-    blocks = F.ceil(F.col("total") / j.tile_tokens).cast("int")
-    members = members.join(total, "pivot").withColumn("blocks", blocks)
-    return members.withColumn("block", F.pmod(F.xxhash64("id", "pivot"), F.col("blocks")).cast("int")).select("pivot", "id", "blocks", "block")
+    hub = F.when(F.max(F.col("id") == F.col("pivot")), F.col("pivot")).otherwise(F.min("id"))
+    total = members.groupBy("pivot").agg(F.ceil(F.sum("size") / j.tile_tokens).cast("int").alias("blocks"), hub.alias("hub"))
+    return members.join(total, "pivot").withColumn("block", F.pmod(F.xxhash64("id", "pivot"), F.col("blocks")).cast("int"))
 
 
 def jaccard_components(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -466,7 +515,7 @@ def jaccard_components(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_
     counts = keys.sparkSession.sparkContext.broadcast(shingle_counts(keys, j))
     reps = representatives(keys.where(F.col("id") != NO_ID), classes, real)
     alive = table(lists(prefixes(reps, counts, j), j), "lists")
-    links = group_links(group_members(alive, real, j), keys, j)
+    links = all_links(table(group_members(alive, real, j), "groups"), keys, j)
     rep = sets.join(classes.where("n > 1").select("size", "d1", "d2", "rep"), ["size", "d1", "d2"], "left").select("id", "th", "size", F.coalesce("rep", "id").alias("rep"))
     # an id with several texts joins their classes
     several = rep.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
