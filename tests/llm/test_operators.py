@@ -180,7 +180,7 @@ def near_copies(n: int, families: int = 2) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("tokens", [300, 1500, 6000])
+@pytest.mark.parametrize("tokens", [300, 3000])
 def test_op2_groups_of_many_blocks(spark, tokens):
     data = near_copies(60)
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
@@ -207,7 +207,7 @@ def test_op2_columns_of_its_own_names(spark):
     assert sorted(map(tuple, op2.dedup_documents(df).collect())) == [(1, t, 5, True), (3, "x", 7, None)]
 
 
-@pytest.mark.parametrize("rows_", [1, 5])
+@pytest.mark.parametrize("rows_", [3])
 def test_op2_groups_of_too_many_sets_for_their_bitmaps(docs, rows, monkeypatch, rows_):
     monkeypatch.setattr(op2, "BITMAP_ROWS", rows_)
     got = {r["id"]: r["component"] for r in op2.jaccard_components(docs).collect()}
@@ -399,7 +399,7 @@ def test_op10(docs, rows, none):
     assert op10.substring_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 3, 6])
+@pytest.mark.parametrize("most", [1, 4])
 def test_anchors_of_many_classes_go_by_parts(spark, docs, rows, monkeypatch, most):
     from dataclasses import replace
 
@@ -419,6 +419,17 @@ def test_anchors_of_many_classes_go_by_parts(spark, docs, rows, monkeypatch, mos
     assert by_id(op5.suffix_dedup(df, digests=True)) == brute_bytes(every)
 
 
+def test_repeats_in_very_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    long = " ".join(rng.choice(words, 110_000))
+    assert len(long) > 4 << 17
+    data = [(1, long), (2, "own text " + long[400_000:402_000] + " and more"), (3, long[:700] + " x " + long[-900:]), (4, "y " + long[131_072 - 400 : 131_072 + 500])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert by_id(op5.suffix_dedup(df, digests=True)) == brute_bytes(data)
+    assert by_id(op10.substring_dedup(df, digests=True)) == brute_words(data)
+
+
 def test_repeats_in_odd_rows(spark):
     t = " ".join(f"w{k}" for k in range(70))
     df = spark.createDataFrame([(3, t), (3, t), (None, t), (5, "x"), (3, "y " + t)], "doc_id long, text string")

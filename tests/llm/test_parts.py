@@ -85,6 +85,25 @@ def test_long_texts_are_cut_where_pretokens_begin(bpe):
         assert got == want
 
 
+def test_a_text_of_several_parts_equals_the_library(bpe):
+    from tokenizers import Tokenizer
+
+    from tilspark.llm import pretoken
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshr\u00e9\u6f22", k=rng.randint(1, 9))) for _ in range(5000)]
+    text = " ".join(rng.choices(words, k=900_000)) + " <|endoftext|>  end"
+    assert len(text.encode()) > 4 * A.SLICE_BYTES
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    parts = list(pretoken.parts(pa.array([text])))
+    assert len(parts) > 2 and [p[-1] for p in parts] == [False] * (len(parts) - 1) + [True]
+    assert [i for _, _, buf, off, _ in parts for i in bpe.encode(buf, off)[0].tolist()] == lib.encode_ordinary(text)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = C.Counter(open(path, encoding="utf-8").read())
+    want = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    assert counter.counts(pa.array(["a b", text, None]), SpanTable.empty()).tolist() == [2, want, 0]
+
+
 def test_pieces_of_a_long_text_give_its_fragments(monkeypatch):
     rng = random.Random(9)
     text = " ".join(rng.choices(["ab", "cd", "efg", "h"], k=3000))
