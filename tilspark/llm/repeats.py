@@ -427,11 +427,17 @@ def window_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(A.trimmed(run), "ah bigint, fh bigint, n bigint, low bigint, place int, wh bigint")
 
 
+#: so many anchors are broadcast (1 MB), more are joined by a shuffle
+BROADCAST_ANCHORS = 1 << 17
+
+
 def _with_size(classes: DataFrame, unit: Unit) -> DataFrame:
     """``classes`` and whether their anchor has more of them than go into a shard: counted map-side
-    first; the few such anchors come back by a join."""
+    first, and the few such anchors come back by a broadcast, so none is gathered."""
     large = classes.groupBy("ah").agg(F.count("*").alias("nc")).where(F.col("nc") > unit.most_classes).select("ah", F.lit(True).alias("large"))
-    return classes.join(large, "ah", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    large = table(large, "large")
+    few = large.count() <= BROADCAST_ANCHORS
+    return classes.join(F.broadcast(large) if few else large, "ah", "left").withColumn("large", F.coalesce("large", F.lit(False)))
 
 
 def search_parts(unit: Unit, find: Callable, wanted: DataFrame, by_count: bool) -> DataFrame:
