@@ -132,12 +132,15 @@ def shingle_counts(keys: DataFrame, j: Join) -> np.ndarray:
     return np.where(out > mean + 8, out, 0).astype(np.uint8)
 
 
-def prefixes(keys: DataFrame, counts, j: Join) -> DataFrame:
-    """``token, id, size, pos``: the entries of each set's prefix."""
+def prefixes(keys: DataFrame, counts, j: Join, unless=None) -> DataFrame:
+    """``token, id, size, pos``: the entries of each set's prefix.  ``unless``: a filter of ids that are
+    left out, here rather than before, as that would be a second Python worker in the task."""
 
     def run(batches):
         level = counts.value
         for batch in batches:
+            if unless is not None:
+                batch = batch.filter(pa.array(~in_filter(unless.value, A.column(batch, "id").to_numpy())))
             ids = A.column(batch, "id").to_numpy()
             for i, _, buf, off in A.sliced(A.column(batch, "text")):
                 h, hoff = sets_of(buf, off, j.n)
@@ -438,22 +441,13 @@ def all_links(members: DataFrame, keys: DataFrame, j: Join) -> DataFrame:
     return links.unionByName(group_links(here.unionByName(away), keys, j).where("b IS NOT NULL").select("a", "b"))
 
 
-def _split(keys: DataFrame, bits, inside: bool) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            rows = np.flatnonzero(in_filter(bits.value, A.column(batch, "id").to_numpy()) == inside)
-            for i in range(0, len(rows), 256):
-                yield batch.take(pa.array(rows[i : i + 256]))
-
-    return keys.mapInArrow(A.trimmed(run), keys.schema)
-
-
-def representatives(keys: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The documents that stand for their class; only ids that a filter takes for copies are shuffled."""
+def class_prefixes(keys: DataFrame, classes: DataFrame, sets: DataFrame, counts, j: Join) -> DataFrame:
+    """``prefixes`` of the documents that stand for their class; only ids that a filter takes for copies
+    are shuffled."""
     copies = sets.join(classes, ["size", "d1", "d2"]).where((F.col("n") > 1) & ((sets["id"] != F.col("rep")) | (sets["th"] != F.col("rep_th")))).select(sets["id"])
     bits = keys.sparkSession.sparkContext.broadcast(id_filter(copies))
-    maybe = _split(keys, bits, True).join(classes.select(F.col("rep").alias("id"), F.col("rep_th").alias("th")), ["id", "th"], "left_semi")
-    return _split(keys, bits, False).unionByName(maybe)
+    maybe = only(keys, bits=bits).join(classes.select(F.col("rep").alias("id"), F.col("rep_th").alias("th")), ["id", "th"], "left_semi")
+    return prefixes(keys, counts, j, unless=bits).unionByName(prefixes(maybe, counts, j))
 
 
 def near_members(members: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
@@ -513,8 +507,8 @@ def jaccard_components(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_
     classes = real.groupBy("size", "d1", "d2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n"))
     classes = table(classes.select("size", "d1", "d2", F.col("rep.id").alias("rep"), F.col("rep.th").alias("rep_th"), "n"), "classes")
     counts = keys.sparkSession.sparkContext.broadcast(shingle_counts(keys, j))
-    reps = representatives(keys.where(F.col("id") != NO_ID), classes, real)
-    alive = table(lists(prefixes(reps, counts, j), j), "lists")
+    entries = class_prefixes(keys.where(F.col("id") != NO_ID), classes, real, counts, j)
+    alive = table(lists(entries, j), "lists")
     links = all_links(table(group_members(alive, real, j), "groups"), keys, j)
     rep = sets.join(classes.where("n > 1").select("size", "d1", "d2", "rep"), ["size", "d1", "d2"], "left").select("id", "th", "size", F.coalesce("rep", "id").alias("rep"))
     # an id with several texts joins their classes

@@ -242,9 +242,10 @@ def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def only(keys: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``keys`` whose id may be among ``ids`` (all that are, and few others)."""
-    sent = keys.sparkSession.sparkContext.broadcast(id_filter(ids))
+def only(keys: DataFrame, ids: DataFrame | None = None, bits=None) -> DataFrame:
+    """The rows of ``keys`` whose id may be among ``ids`` (all that are, and few others), or is in the
+    broadcast filter."""
+    sent = bits or keys.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches):
         for batch in batches:
