@@ -54,6 +54,7 @@ def test_phonology(spark):
 def test_sql_names(spark):
     sql.register(spark)
     r = spark.sql("SELECT kaz_normalize('Сәлем, 12!') a, kaz_harmony('үй') b, kaz_final_class('үй') c, kaz_words(' x  y ') d, kaz_gloss('мектептер') e").first()
+    assert [tuple(x["a"]) for x in spark.sql("SELECT kaz_analyze(w) a FROM VALUES ('балаларына'), ('үй') AS t(w)").collect()] == [("бала", ["PL", "POSS", "CASE"]), ("үй", [])]
     assert tuple(r) == ("сәлем бір екі", "front", "sonorant", ["x", "y"], "мектеп+PL")
 
 

@@ -13,7 +13,6 @@ from . import phonology, text
 def register(spark: SparkSession) -> None:
     from ..operators.morphology import local_tokens
 
-
     @F.pandas_udf("array<string>")
     def morphemes(words: pd.Series) -> pd.Series:
         return words.map(lambda w: local_tokens(w or ""))
@@ -22,6 +21,12 @@ def register(spark: SparkSession) -> None:
     def gloss(words: pd.Series) -> pd.Series:
         return words.map(lambda w: "+".join(local_tokens(w or "")))
 
+    @F.pandas_udf("root string, tags array<string>")
+    def analyze(words: pd.Series) -> pd.DataFrame:
+        parses = [local_tokens(w or "") for w in words]
+        return pd.DataFrame({"root": [p[0] for p in parses], "tags": [p[1:] for p in parses]})
+
+    spark.udf.register("kaz_analyze", analyze)
     spark.udf.register("kaz_morphemes", morphemes)
     spark.udf.register("kaz_gloss", gloss)
     one = spark.range(1).select(F.lit("").alias("x"))

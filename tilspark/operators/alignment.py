@@ -29,11 +29,6 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
     return F.element_at(F.transform(both, distance), 1)
 
 
-def chain_distance(a: Column, b: Column) -> Column:
-    """``edit_distance`` for the short chains of suffixes."""
-    return edit_distance(a, b)
-
-
 #: cells of the distance matrix that are kept; of a larger one only some rows are, and the rest come again
 _CELLS = 1 << 22
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def substitution_costs(ops: DataFrame, params: MorphWER = MorphWER(), seg: M.Seg
     pairs = ops.where(F.col("op") == "sub").select("ref", "hyp").distinct()
     pairs = pairs.withColumn("r", M.best(F.col("ref"), seg)).withColumn("h", M.best(F.col("hyp"), seg))
     r, h = M.suffix_chain(F.col("r")), M.suffix_chain(F.col("h"))
-    share = L.chain_distance(r, h).cast("double") / F.greatest(F.size(r), F.size(h), F.lit(1))
+    share = L.edit_distance(r, h).cast("double") / F.greatest(F.size(r), F.size(h), F.lit(1))
     same = F.col("r.root") == F.col("h.root")
     cost = F.when(same, F.lit(params.w_suffix) * share).otherwise(F.lit(params.w_root) + F.lit(params.w_suffix) * share)
     return pairs.select("ref", "hyp", cost.alias("cost"), F.when(same, "suffix").otherwise("root").alias("kind"))
@@ -64,7 +65,10 @@ def examples(pairs: DataFrame, params: MorphWER = MorphWER(), seg: M.Segmenter =
     """The first substitutions with the right root, in corpus order, as text."""
     ops = costed(aligned(pairs, **columns), params, seg).where(F.col("kind") == "suffix")
     # a dozen rows; the JVM would round ties of decimal digits, which binary fractions aren't
-    two = F.pandas_udf(lambda c: c.map(lambda x: f"{x:.2f}"), "string", F.PandasUDFType.SCALAR)
+    @F.pandas_udf("string")
+    def two(costs: pd.Series) -> pd.Series:
+        return costs.map(lambda x: f"{x:.2f}")
+
     line = F.format_string("'%s' -> '%s'  (root ok, suffix Δ, cost=%s)", "ref", "hyp", two("cost"))
     return ops.orderBy("utt_id", "pos").limit(params.collect_examples).select("utt_id", "pos", line.alias("example"))
 
