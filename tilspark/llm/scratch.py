@@ -28,7 +28,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(at)
     files.deleteOnExit(at)
-    df.write.option("compression", "lz4_raw").parquet(f"{own}/data")
+    df.write.option("compression", "snappy").parquet(f"{own}/data")
     return spark.read.schema(df.schema).parquet(f"{own}/data")
 
 
