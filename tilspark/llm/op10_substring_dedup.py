@@ -30,9 +30,7 @@ def finder(length: int):
         first, later = np.zeros(len(shard.position), bool), np.zeros(len(shard.position), bool)
         if len(shard.position):
             _, rank = np.unique(shard.low, return_inverse=True)
-            # each position's document; a separator belongs to the fragment before it
-            owner = np.repeat(rank, shard.size + 1)
-            matcher = Matcher(shard.text, owner, length)
+            matcher = Matcher(shard.text, rank[shard.owner], length)
             # a fragment is a stream for its first document and, if there are others, one for those
             more = np.flatnonzero(shard.low < shard.high)
             frag = np.concatenate([np.arange(len(rank)), more])

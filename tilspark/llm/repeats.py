@@ -320,17 +320,25 @@ class Shard:
     frag: np.ndarray  # of each window: its fragment, its place in it, its position in the text
     place: np.ndarray
     position: np.ndarray
+    owner: np.ndarray  # of each position: the fragment of the window that begins there, or the one before
+
+
+def _dense(unit: Unit, items: np.ndarray) -> np.ndarray:
+    """Symbols from 1: as few as there are, so as few levels of the index."""
+    if unit.name == "byte":
+        seen = np.zeros(256, bool)
+        seen[items] = True
+        return np.cumsum(seen, dtype=np.int32)[items]
+    return np.unique(items, return_inverse=True)[1].astype(np.int32) + 1
 
 
 def _shard(unit: Unit, part: pa.RecordBatch) -> Shard:
     buf, off = A.utf8(A.column(part, "piece").cast(pa.large_binary()).view(pa.large_string()))
     if unit.name == "byte":
-        seen = np.zeros(256, bool)  # as few symbols as there are, so as few levels of the index
-        seen[buf] = True
-        symbols, uoff = np.cumsum(seen, dtype=np.int32)[buf], off
+        symbols, uoff = _dense(unit, buf), off
     else:
         s, e, uoff = A.words(buf, off)
-        symbols = np.unique(A.span_hashes(buf, s, e), return_inverse=True)[1].astype(np.int32) + 1
+        symbols = _dense(unit, A.span_hashes(buf, s, e))
     n = np.diff(uoff)
     text = np.zeros(len(symbols) + len(n), np.int32)
     begin = uoff[:-1] + np.arange(len(n))
@@ -338,7 +346,91 @@ def _shard(unit: Unit, part: pa.RecordBatch) -> Shard:
     count = np.maximum(n - unit.length + 1, 0)
     frag = np.repeat(np.arange(len(n)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return Shard(text, begin, n, *(A.column(part, c).to_numpy() for c in ("n", "low", "high")), frag, place, begin[frag] + place)
+    return Shard(text, begin, n, *(A.column(part, c).to_numpy() for c in ("n", "low", "high")), frag, place, begin[frag] + place, np.repeat(np.arange(len(n)), n + 1))
+
+
+def _chain_shard(unit: Unit, items: np.ndarray, units: np.ndarray, chain: np.ndarray, shift: np.ndarray, size: np.ndarray, n, low, high) -> Shard:
+    """A shard of chains: ``units`` of each, and each fragment's chain and place in it."""
+    text = np.zeros(len(items) + len(units), np.int32)
+    text[np.arange(len(items)) + np.repeat(np.arange(len(units)), units)] = _dense(unit, items)
+    begin = (np.cumsum(units) - units + np.arange(len(units)))[chain] + shift
+    count = size - unit.length + 1
+    frag = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(frag)) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.zeros(len(text), np.int64)
+    owner[begin[frag] + place] = frag
+    return Shard(text, begin, size, n, low, high, frag, place, begin[frag] + place, np.maximum.accumulate(owner))
+
+
+def _runs(shard: Shard, find: Callable, ah: np.ndarray, fh: np.ndarray):
+    """``ah, fh, later, first, last`` of the runs of windows for which ``find`` holds."""
+    for later, hit in find(shard):
+        frag, place = shard.frag[hit], shard.place[hit]
+        new = np.ones(len(frag), bool)
+        new[1:] = (frag[1:] != frag[:-1]) | (place[1:] != place[:-1] + 1)
+        f = np.flatnonzero(new)
+        if len(f):
+            last = np.append(f[1:], len(frag)) - 1
+            yield pa.RecordBatch.from_pydict({"ah": ah[frag[f]], "fh": fh[frag[f]], "later": np.full(len(f), later), "first": place[f].astype(np.int32), "last": place[last].astype(np.int32)})
+
+
+RUNS = "ah bigint, fh bigint, later boolean, first int, last int"
+
+
+def search_chains(unit: Unit, find: Callable, keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``search`` for classes that are alone at their anchors (``wanted``: ``pieces``' columns).
+
+    They share no window with another class, so any shard will do: that of their documents' tasks.
+    Fragments that follow each other in a document are one chain there, whose text is taken once.
+    """
+    names = ("ah", "fh", "n", "low", "high", "at", "size")
+    by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*names)).alias("want"))
+    joined = only(keys, wanted.select("id")).dropDuplicates(["id", "th"]).join(by_doc, ["id", "th"]).select("text", "want")
+
+    def flush(held):
+        items, units, shift, size, *cols = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3, 4, 5, 6, 7, 8, 9))
+        before = np.cumsum([0, *(len(h[1]) for h in held)])
+        chain = np.concatenate([h[2] + b for h, b in zip(held, before)])
+        ends = np.cumsum(units)
+        shard = (ends - 1) // unit.shard_units  # of each chain; one long text makes several
+        for k in np.unique(shard).tolist():
+            a, b = (int(x) for x in np.searchsorted(shard, [k, k + 1]))
+            f = slice(*(int(x) for x in np.searchsorted(chain, [a, b])))
+            ah, fh, n, low, high = (c[f] for c in cols)
+            yield from _runs(_chain_shard(unit, items[ends[a] - units[a] : ends[b - 1]], units[a:b], chain[f] - a, shift[f], size[f], n, low, high), find, ah, fh)
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            want = A.column(batch, "want")
+            flat = pa.RecordBatch.from_struct_array(want.flatten())
+            woff = np.concatenate([[0], np.cumsum(want.value_lengths().to_numpy())])
+            cols = {c: A.column(flat, c).to_numpy().astype(np.int64) for c in names}
+            for i, j, buf, off in A.sliced(A.column(batch, "text"), 1 << 18):
+                s, e, uoff = unit.split(buf, off)
+                w = np.arange(woff[i], woff[j])
+                row = np.repeat(np.arange(j - i), np.diff(woff[i : j + 1]))
+                order = np.lexsort((cols["at"][w], row))
+                w, row = w[order], row[order]
+                at, size = cols["at"][w], cols["size"][w]
+                new = np.ones(len(w), bool)
+                new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + size[:-1] - unit.length + 1) | (at[1:] >> 15 != at[:-1] >> 15)
+                f = np.flatnonzero(new)
+                chain, last = np.cumsum(new) - 1, np.append(f[1:], len(w)) - 1
+                begin = uoff[row[f]] + at[f]
+                units = uoff[row[last]] + at[last] + size[last] - begin
+                items = A.gather(buf if e is None else A.span_hashes(buf, s, e), begin, units)
+                held.append((items, units, chain, at - at[f][chain], size, *(cols[c][w] for c in ("ah", "fh", "n", "low", "high"))))
+                total += len(items)
+                if total > unit.shard_units:
+                    yield from flush(held)
+                    held, total = [], 0
+        if held:
+            yield from flush(held)
+
+    return joined.mapInArrow(A.trimmed(run), RUNS)
+
+
 
 
 def search(unit: Unit, find: Callable, wanted: DataFrame) -> DataFrame:
@@ -350,17 +442,10 @@ def search(unit: Unit, find: Callable, wanted: DataFrame) -> DataFrame:
             part = table_.to_batches()[0]
             shard = _shard(unit, part)
             ah, fh = A.column(part, "ah").to_numpy(), A.column(part, "fh").to_numpy()
-            for later, hit in find(shard):
-                frag, place = shard.frag[hit], shard.place[hit]
-                new = np.ones(len(frag), bool)
-                new[1:] = (frag[1:] != frag[:-1]) | (place[1:] != place[:-1] + 1)
-                f = np.flatnonzero(new)
-                if len(f):
-                    last = np.append(f[1:], len(frag)) - 1
-                    yield pa.RecordBatch.from_pydict({"ah": ah[frag[f]], "fh": fh[frag[f]], "later": np.full(len(f), later), "first": place[f].astype(np.int32), "last": place[last].astype(np.int32)})
+            yield from _runs(shard, find, ah, fh)
 
     n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(A.trimmed(run), "ah bigint, fh bigint, later boolean, first int, last int")
+    return wanted.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(A.trimmed(run), RUNS)
 
 
 def part_rows(unit: Unit, wanted: DataFrame) -> DataFrame:
@@ -494,11 +579,13 @@ def covered_ranges(docs: DataFrame, unit: Unit, find: Callable, by_count: bool,
     # hot anchors were looked at in parts: what the parts don't know of each other, for a few thousand anchors at most
     whole_hot = classes.where("hot").groupBy("ah").agg((F.count("*") == 1).alias("one"))
     classes = classes.join(F.broadcast(whole_hot), "ah", "left").withColumn("single", F.when(F.col("hot"), F.col("one")).otherwise(F.col("single"))).drop("one", "hot")
-    # a class alone at its anchor repeats as a whole, if at all; the index says so of it too
-    search_in = classes.where("NOT single OR n > 1" if by_count else "NOT single OR low < high")
-    wanted = _with_size(search_in, unit).select("ah", "fh", "n", "low", "high", "rep.*", "large")
+    place = ["ah", "fh", "n", "low", "high", "rep.*"]
+    wanted = _with_size(classes.where("NOT single"), unit).select(*place, "large")
     wanted = table(pieces(keys, wanted, unit), "pieces")
     found = search(unit, find, wanted.where("NOT large").select("ah", "fh", "n", "low", "high", "size", "piece"))
+    # a class alone at its anchor repeats as a whole, if at all; the index says so of it too
+    alone = classes.where("single AND n > 1" if by_count else "single AND low < high").select(*place)
+    found = found.unionByName(search_chains(unit, find, keys, alone))
     large = wanted.where("large").select("ah", "fh", "n", "low", "high", "piece")
     if not large.isEmpty():
         found = found.unionByName(search_parts(unit, find, large, by_count))
