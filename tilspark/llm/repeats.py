@@ -50,7 +50,7 @@ class Unit:
     gram: int
     split: Callable
     most_classes: int = 2048
-    shard_units: int = 1 << 19
+    shard_units: int = 1 << 18  # of a task: 50 MB with the index
 
 
 def _bytes(buf, off):
@@ -406,7 +406,7 @@ def search_chains(unit: Unit, find: Callable, keys: DataFrame, wanted: DataFrame
             flat = pa.RecordBatch.from_struct_array(want.flatten())
             woff = np.concatenate([[0], np.cumsum(want.value_lengths().to_numpy())])
             cols = {c: A.column(flat, c).to_numpy().astype(np.int64) for c in names}
-            for i, j, buf, off in A.sliced(A.column(batch, "text"), 1 << 18):
+            for i, j, buf, off in A.sliced(A.column(batch, "text"), SLICE_UNITS):
                 s, e, uoff = unit.split(buf, off)
                 w = np.arange(woff[i], woff[j])
                 row = np.repeat(np.arange(j - i), np.diff(woff[i : j + 1]))
