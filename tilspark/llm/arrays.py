@@ -200,18 +200,17 @@ class Windows:
         return mix(h + U(salt))
 
 
+    def _level_at(self, k: int, p: np.ndarray) -> np.ndarray:
+        if k < len(self.levels):
+            return self.levels[k][p]
+        return fold(self._level_at(k - 1, p), self._level_at(k - 1, p + (1 << (k - 1))))
+
     def at(self, m: int, positions: np.ndarray, salt: int = 0) -> np.ndarray:
         """``of`` at few positions only."""
-
-        def level(k: int, p: np.ndarray) -> np.ndarray:
-            if k < len(self.levels):
-                return self.levels[k][p]
-            return fold(level(k - 1, p), level(k - 1, p + (1 << (k - 1))))
-
         k = m.bit_length() - 1
-        h = level(k, positions)
+        h = self._level_at(k, positions)
         if m > 1 << k:
-            h = fold(h, level(k, positions + m - (1 << k)))
+            h = fold(h, self._level_at(k, positions + m - (1 << k)))
         return mix(h + U(salt))
 
 
