@@ -318,6 +318,22 @@ def test_op3_queries_on_centroids(spark, monkeypatch):
     recall(op3.Index(list_size=2, probes=1, least_probes=1))
 
 
+@pytest.mark.parametrize("index", [op3.Index(list_size=4), op3.Index(list_size=4, block_bytes=20_000), op3.Index(list_size=3000, max_lists=2, block_bytes=20_000)])
+def test_op3_is_exact_without_clusters(spark, index):
+    """Nothing in the rows helps the lists: what they miss, the proof finds."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(3000, 32))
+    x[1000:1010], x[2000:2020] = x[0], x[5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in op3.nearest(df, df.where("vec_id % 100 = 0"), index).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == list(range(0, 3000, 100))
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert found == [int(i) for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+
+
 # ------------------------------------------------------------------ op4
 
 

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours over balanced posting lists.
+"""Nearest neighbours over balanced posting lists: exact, the lists only save work.
 
 *Fit.*  Centroids come from hierarchical balanced k-means over a sample of at most ``sample`` vectors
 (chosen by hash; the bound is a parameter).  There are at most ``max_lists`` of them, so they and
@@ -8,10 +8,14 @@ of distances), which replicates boundary vectors; a list that is larger than ``l
 into as many parts by hash.
 *Search.*  A query walks the centroid graph greedily with a beam, and probes the lists whose
 distance ratio to the nearest is under a limit, but never fewer than ``least_probes``: a query on a
-centroid has no distance to take a ratio of.  Queries that come back with fewer than ``k`` answers
-are asked again of eight times as many lists, at last of all.  Candidates are measured exactly, in double
+centroid has no distance to take a ratio of.  Candidates are measured exactly, in double
 precision on the original vectors; each list part keeps a query's ``k`` best, and a second
 aggregation the best of all parts.
+*Proof.*  The k-th distance found so far is a bound: a list whose centroid is farther than the bound
+and the list's radius together holds no better answer.  A query goes to the blocks of all other lists
+that it has not probed, each vector standing in the block of its nearest centroid only.  Where vectors
+are in clusters few lists are left; where they are not, all are, and the work is that of all pairs,
+dealt over blocks of at most ``block_bytes``.
 
 Equal vectors are searched once: they are one class (by a 128-bit digest), held in the index with
 their smallest ids (a query's answer can hold no more than ``k`` + 1 of them), so a vector that a
@@ -49,6 +53,7 @@ class Index:
     beam: int = 128
     degree: int = 24
     list_rows: int = 4096
+    block_bytes: int = 3 << 25  # vectors that a task of the proof holds at once
     seed: int = 5
 
 
@@ -215,6 +220,134 @@ def _matrix(arr: pa.Array) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1)
 
 
+def _open_lists(x: np.ndarray, bound: np.ndarray, c: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which lists (of centres ``c``) may hold a vector within its bound of each row of x."""
+    norm = np.sqrt((x * x).sum(1).max()) + np.sqrt((c * c).sum(1).max())
+    # a distance near zero is known to the root of the precision only
+    return np.sqrt(_near(x, c)) - radius[None, :] <= bound[:, None] + 1e-6 * norm
+
+
+def _within(x: np.ndarray, bound: np.ndarray, mat: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, the k nearest of mat within each row's bound and their distances.  Products choose
+    generously, differences decide; mat is looked at in pieces, and a row's bound shrinks to its k-th
+    distance so far."""
+    bound = bound.copy()
+    norm = (x * x).sum(1)
+    r, c, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(mat), 4096):
+        piece = mat[at : at + 4096]
+        rough = _near(x, piece)
+        limit = bound * bound
+        if not np.isfinite(limit).all():
+            limit = np.minimum(limit, np.partition(rough, min(k, len(piece)) - 1, axis=1)[:, min(k, len(piece)) - 1])
+        pr, pc = np.nonzero(rough <= (limit + 1e-10 * (norm + (piece * piece).sum(1).max() + np.where(np.isfinite(limit), limit, 0)))[:, None])
+        if not len(pr):
+            continue
+        diff = piece[pc] - x[pr]
+        r, c, d = np.concatenate([r, pr]), np.concatenate([c, pc + at]), np.concatenate([d, np.sqrt((diff * diff).sum(1))])
+        order = np.lexsort((cid[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        last = place == k - 1
+        bound[r[last]] = np.minimum(bound[r[last]], d[last])
+        keep = place < k
+        r, c, d = r[keep], c[keep], d[keep]
+    return r, c, d
+
+
+def _proved(found: DataFrame, asked: DataFrame, postings: DataFrame, graph, index: Index) -> DataFrame:
+    """``query, cid, ids, score`` of what the lists that a query has not probed hold within its k-th
+    distance so far."""
+    spark = found.sparkSession
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    home = postings.where("far is not null")
+    sizes = home.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("r")).orderBy("list").collect()  # at most max_lists rows
+    lists, dim = len(graph.value.c), graph.value.c.shape[1]
+    rows = sum(s["n"] for s in sizes)
+    most = max(1, min(index.block_bytes // (8 * dim), max(2048, -(-rows // (2 * spark.sparkContext.defaultParallelism)))))
+    # a block is some whole lists, a list beyond a block's size some blocks
+    radius, first, pieces, block, fill = np.full(lists, -np.inf), np.zeros(lists, np.int32), np.ones(lists, np.int32), 0, 0
+    for s in sizes:
+        at, n = s["list"], s["n"]
+        if fill and fill + n > most:
+            block, fill = block + 1, 0
+        radius[at], first[at], pieces[at] = s["r"], block, -(-n // most)
+        fill += n
+        if pieces[at] > 1:
+            block, fill = block + int(pieces[at]), 0
+    plan = spark.sparkContext.broadcast((radius, first, pieces))
+
+    # the smallest distance within which there are k + 1 ids: one of them may be the query's own
+    w = Window.partitionBy("query").orderBy("score", "cid").rowsBetween(Window.unboundedPreceding, 0)
+    bounds = found.withColumn("held", F.sum(F.size("ids")).over(w)).where(F.col("held") > index.k).groupBy("query").agg(F.min("score").alias("bound"))
+    bounded = asked.join(bounds, F.col("cid") == F.col("query"), "left").select("cid", "vector", "lists", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+    def route(batches):
+        c = graph.value.c
+        radius, first, pieces = plan.value
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                x = _matrix(A.column(part, "vector"))
+                open_ = _open_lists(x, A.column(part, "bound").to_numpy(), c, radius)
+                probed = A.column(part, "lists")
+                open_[np.repeat(np.arange(len(part)), np.diff(probed.offsets.to_numpy())), probed.flatten().to_numpy()] = False
+                r, at = np.nonzero(open_)
+                to = np.repeat(first[at], pieces[at]) + (np.arange(pieces[at].sum()) - np.repeat(np.cumsum(pieces[at]) - pieces[at], pieces[at]))
+                each = np.unique(np.stack([np.repeat(r, pieces[at]), to]), axis=1)
+                near = _near(x, c).argmin(1).astype(np.int32)
+                for j in range(0, each.shape[1], 4096):
+                    rr, bb = each[0, j : j + 4096], each[1, j : j + 4096]
+                    taken = part.take(pa.array(rr))
+                    yield pa.RecordBatch.from_arrays([pa.array(bb.astype(np.int32)), pa.array(near[rr]), A.column(taken, "cid"), A.column(taken, "vector"), A.column(taken, "bound")], ["block", "list", "cid", "vector", "bound"])
+
+    vector = "vector array<double>"
+    routed = table(bounded.mapInArrow(A.trimmed(route), f"block int, list int, cid bigint, {vector}, bound double"), "routed")
+    if routed.isEmpty():
+        return found.limit(0).select("query", "cid", "ids", "score")
+    info = spark.createDataFrame([(s["list"], int(first[s["list"]]), int(pieces[s["list"]])) for s in sizes], "list int, first int, pieces int")
+    own = home.join(F.broadcast(info), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int"))
+    blocks = routed.select("block").distinct()  # those that are asked
+    own = own.join(F.broadcast(blocks), "block", "left_semi")
+
+    def measure(batches):
+        c = graph.value.c
+        radius = plan.value[0]
+        key = None
+        for batch in batches:
+            block, kind, at, cid = (A.column(batch, x).to_numpy(zero_copy_only=False) for x in ("block", "kind", "list", "cid"))
+            vec = _matrix(A.column(batch, "vector"))
+            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(vec)]):
+                if a == b:
+                    continue
+                if block[a] != key:
+                    key, x, lists_, cids, ids, mat = block[a], [], [], [], [], None
+                if kind[a] == 0:
+                    x.append(vec[a:b].copy())
+                    lists_.append(at[a:b].copy())
+                    cids.append(cid[a:b].copy())
+                    ids.append(A.column(batch, "ids").slice(a, b - a))
+                    continue
+                if mat is None:
+                    mat, all_lists, all_cids, all_ids = np.concatenate(x), np.concatenate(lists_), np.concatenate(cids), pa.concat_arrays(ids)
+                    x, ids = [], []
+                    here, where = np.unique(all_lists, return_inverse=True)
+                for i in range(a, b, 256):
+                    q, bound = vec[i : min(b, i + 256)], A.column(batch, "bound").slice(i, min(b, i + 256) - i).to_numpy(zero_copy_only=False)
+                    some = _open_lists(q, bound, c[here], radius[here]).any(0)
+                    rows_ = None if some.all() else np.flatnonzero(some[where])
+                    r, m, d = _within(q, bound, mat if rows_ is None else mat[rows_], all_cids if rows_ is None else all_cids[rows_], index.k + 1)
+                    m = m if rows_ is None else rows_[m]
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[i + r]), pa.array(all_cids[m]), all_ids.take(pa.array(m)), pa.array(d)], ["query", "cid", "ids", "score"])
+
+    none, zero = F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0.0).alias("bound")
+    both = own.select("block", F.lit(0).alias("kind"), "list", "cid", "vector", "ids", zero).unionByName(routed.select("block", F.lit(1).alias("kind"), "list", "cid", "vector", none, "bound"))
+    # queries of one list are neighbours, so that the lists they leave open are few
+    dealt = both.repartition(p, "block").sortWithinPartitions("block", "kind", "list")
+    return dealt.mapInArrow(A.trimmed(measure), "query bigint, cid bigint, ids array<bigint>, score double")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for each row of ``queries`` against all of ``rows``."""
     spark = rows.sparkSession
@@ -240,10 +373,12 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
                 keep = nd <= index.spread * nd.min(1, keepdims=True) + 1e-12
                 r, c = np.nonzero(keep)
                 taken = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(near[r, c].astype(np.int32)), A.column(taken, "cid"), A.column(taken, "vector"), A.column(taken, "ids")], ["list", "cid", "vector", "ids"])
+                # the distance to the nearest centroid, in one of a vector's rows
+                far = pa.array(nd[r, c], mask=c != nd.argmin(1)[r])
+                yield pa.RecordBatch.from_arrays([pa.array(near[r, c].astype(np.int32)), A.column(taken, "cid"), A.column(taken, "vector"), A.column(taken, "ids"), far], ["list", "cid", "vector", "ids", "far"])
 
     vector = "vector array<double>"
-    postings = table(all_classes.mapInArrow(A.trimmed(assign), f"list int, cid bigint, {vector}, ids array<bigint>"), "postings")
+    postings = table(all_classes.mapInArrow(A.trimmed(assign), f"list int, cid bigint, {vector}, ids array<bigint>, far double"), "postings")
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / index.list_rows).cast("int").alias("parts"))  # at most max_lists rows
 
     wanted = keyed_vectors(queries, 2**31, id_col, vector_col).where(F.size("vector") == dim).select("key", "vector", F.explode("ids").alias("query_id"))
@@ -251,36 +386,23 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
     wanted = table(known.select("query_id", "vector", F.coalesce("cid", -F.col("query_id") - 1).alias("cid")), "queries")
     asked = wanted.groupBy("cid").agg(F.first("vector").alias("vector"))
 
-    def route(wide):
-        """``wide``: None for the graph's search, or how many of the nearest lists to probe."""
-
-        def run(batches):
-            g = graph.value
-            for batch in batches:
-                x = _matrix(A.column(batch, "vector"))
-                # few rows a batch, as a row may go to all lists
-                step = 64 if wide is None else max(1, 65536 // wide)
-                for i in range(0, len(x), step):
-                    rows_, lists_ = [], []
-                    for r in range(i, min(len(x), i + step)):
-                        if wide is None:
-                            ids, d = g.search(x[r], index.beam)
-                            ids, d = ids[: index.probes], d[: index.probes]
-                            near = ids[(d <= index.probe_ratio * d[0] + 1e-12) | (np.arange(len(d)) < index.least_probes)]
-                        else:
-                            near = np.argsort(_near(x[r : r + 1], g.c)[0], kind="stable")[:wide]
-                        rows_.append(np.full(len(near), r))
-                        lists_.append(near)
-                    taken = batch.take(pa.array(np.concatenate(rows_)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists_).astype(np.int32)), A.column(taken, "cid"), A.column(taken, "vector")], ["list", "cid", "vector"])
-
-        return run
-
+    def route(batches):
+        g = graph.value
+        for batch in batches:
+            x = _matrix(A.column(batch, "vector"))
+            lists = []
+            for q in x:
+                ids, d = g.search(q, index.beam)
+                ids, d = ids[: index.probes], d[: index.probes]
+                lists.append(ids[(d <= index.probe_ratio * d[0] + 1e-12) | (np.arange(len(d)) < index.least_probes)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([A.column(batch, "cid"), A.column(batch, "vector"), pa.array(lists, pa.list_(pa.int32()))], ["cid", "vector", "lists"])
+
+    asked = table(asked.mapInArrow(A.trimmed(route), f"cid bigint, {vector}, lists array<int>"), "asked")
     held = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def candidates(some, wide=None):
-        routed = some.mapInArrow(A.trimmed(route(wide)), f"list int, cid bigint, {vector}").join(F.broadcast(parts), "list")
+    def candidates(some):
+        routed = some.select(F.explode("lists").alias("list"), "cid", "vector").join(F.broadcast(parts), "list")
         routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         both = held.select("list", "part", F.lit(0).alias("kind"), "cid", "vector", "ids").unionByName(routed.select("list", "part", F.lit(1).alias("kind"), "cid", "vector", F.expr("cast(array() as array<bigint>)").alias("ids")))
         dealt = both.repartition(p, "list", "part").sortWithinPartitions("list", "part", "kind")
@@ -333,15 +455,8 @@ def nearest(rows: DataFrame, queries: DataFrame, index: Index = Index(), *, id_c
         found = found.groupBy("query", "cid").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
         return found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "cid"))).where(F.col("r") <= index.k + 1).drop("r")
 
-    found, wide = table(best(candidates(asked)), "found"), index.probes
-    while wide < len(centroids):
-        wide *= 8
-        # one of the ids may be the query's own
-        full = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > index.k)
-        short = table(asked.join(full, F.col("cid") == F.col("query"), "left_anti"), "short")
-        if short.isEmpty():
-            break
-        found = table(best(candidates(short, wide).unionByName(found)), "found")
+    found = table(best(candidates(asked)), "found")
+    found = best(_proved(found, asked, postings, graph, index).unionByName(found))
     answers = found.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("best"))
     each = wanted.select("query_id", "cid").join(answers, F.col("cid") == F.col("query")).select("query_id", F.explode("best").alias("b"))
     each = each.select("query_id", F.col("b.score").alias("score"), F.explode("b.ids").alias("vec_id")).where("vec_id <> query_id")
@@ -354,4 +469,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
-SQL = None  # approximate: tests measure its recall against brute force
+SQL = None  # tests compare with brute force
