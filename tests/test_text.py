@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tilspark.functions import phonology as P
@@ -106,3 +109,30 @@ def test_config(tmp_path):
     assert c.batch_size == 4 and config.with_overrides(c, {"epochs": 2, "seed": None, "other": 1}).epochs == 2
     with pytest.raises(SystemExit):
         config.from_dict({"nope": 1})
+
+
+def test_normalize_reads_its_input_once(spark):
+    """Texts are taken apart once, whatever they hold."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(T.normalize(F.upper("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
+
+
+def test_normalize_odd_texts(spark):
+    rng = random.Random(3)
+    pool = [*T.ALPHABET, *"aeocpxykmthbdfgz0123456789 \t\n.,'ґђѐӨӘЁЙҒј", "й", "\xa0", "é", "ß", "\U0001f600", "т.б.", "т.с.с.", "ғ.", "жыл.", "aeo", "12"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(2000)] + ["a" * 20000, "a" * 20000 + "z", "7" * 5000]
+
+    def plain(x):
+        for parts, letter in T.COMPOSED:
+            x = x.replace(parts, letter)
+        x = x.lower()
+        for short, full in T.ABBREVIATIONS:
+            x = x.replace(short, f" {full} ")
+        look = str.maketrans(T.HOMOGLYPHS_FROM, T.HOMOGLYPHS_TO)
+        x = re.sub("[a-z]+", lambda m: m[0].translate(look) if set(m[0]) <= set(T.HOMOGLYPHS_FROM) else m[0], x)
+        x = re.sub("[0-9]+", lambda m: " ".join(T.DIGITS[int(c)] for c in m[0]), x)
+        return re.sub(f"[^{T.ALPHABET}]+", " ", x).strip(" ")
+
+    want = [plain(x) for x in texts]
+    assert one(spark, T.normalize, *texts) == want
+    assert one(spark, T.normalized_words, *texts) == [x.split() for x in want]

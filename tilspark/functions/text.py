@@ -62,22 +62,47 @@ def repair_homoglyphs(text: Column) -> Column:
 
 def expand_digits(text: Column) -> Column:
     """Each run of digits as digit words; the words are not set apart from what stands next to them."""
-    words = F.array(*[F.lit(w) for w in DIGITS])
-    digits = lambda r: F.filter(F.split(r, ""), lambda d: d != "")
-    return by_runs(text, "0-9", lambda r: F.array_join(F.transform(digits(r), lambda d: F.element_at(words, d.cast("int") + 1)), " "))
+    text = F.regexp_replace(text, "([0-9])(?=[0-9])", "$1 ")
+    for digit, word in enumerate(DIGITS):
+        text = F.replace(text, F.lit(str(digit)), F.lit(word))
+    return text
+
+
+#: a run of Latin letters that aren't all look-alikes, from its beginning (so that each letter is looked at once)
+_FOREIGN = f"(?<![a-z])[{HOMOGLYPHS_FROM}]*+[a-z&&[^{HOMOGLYPHS_FROM}]][a-z]*+"
+#: the range of code points that the alphabet lies in, and what else it holds: a class of one range is
+#: looked up many times faster than one of ten
+_LOW, _HIGH = min(ALPHABET), max(ALPHABET)
+_OTHERS = "".join(c for c in map(chr, range(ord(_LOW), ord(_HIGH) + 1)) if c not in ALPHABET)
+
+
+def _where(text: Column, pattern: str, change) -> Column:
+    """``change`` of the texts in which the pattern is found.  A lambda's parameter is bound once; an
+    expression that ``when`` names twice would be computed twice."""
+    return F.element_at(F.transform(F.array(text), lambda x: F.when(x.rlike(pattern), change(x)).otherwise(x)), 1)
 
 
 def normalize(text: Column, *, expand_numbers: bool = True, keep_unknown: bool = False, exact_nfc: bool = False) -> Column:
     """A transcript in the alphabet and single blanks; null gives the empty string."""
     text = F.coalesce(text, F.lit(""))
-    text = F.lower(compose_exact(text) if exact_nfc else compose(text))
-    text = repair_homoglyphs(expand_abbreviations(text))
+    text = F.lower(compose_exact(text) if exact_nfc else _where(text, "[\u0306\u0308]", compose))
+    text = _where(text, "[тғл][.]", expand_abbreviations)
+    if keep_unknown:
+        text = repair_homoglyphs(text)
+    else:  # other runs of Latin letters become blanks in the end, and those left are look-alikes only
+        text = _where(text, "[a-z]", lambda x: F.regexp_replace(x, _FOREIGN, " "))
+        text = F.translate(text, HOMOGLYPHS_FROM + _OTHERS, HOMOGLYPHS_TO + " " * len(_OTHERS))
     if expand_numbers:
-        text = expand_digits(text)
+        text = _where(text, "[0-9]", expand_digits)
     if keep_unknown:
         return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     # only blanks are left of all white space, and a run of other characters is one match
-    return F.trim(F.regexp_replace(text, f"[^{ALPHABET}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[^{_LOW}-{_HIGH}]+", " "))
+
+
+def normalized_words(text: Column) -> Column:
+    """``words(normalize(text))``: single blanks are all that is left between words."""
+    return F.array_remove(F.split(normalize(text), " "), "")
 
 
 def words(text: Column) -> Column:

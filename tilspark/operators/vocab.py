@@ -15,7 +15,7 @@ IGNORED_LABEL = -100
 
 def char_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``token, c``: how often each character of the normalised texts occurs, blanks left out."""
-    return df.select(F.explode(T.characters(T.normalize(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    return df.select(F.explode(F.array_remove(F.split(F.replace(T.normalize(F.col(text_col)), F.lit(" ")), ""), "")).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
 
 
 def build_vocab(df: DataFrame, *, text_col: str = "text", min_count: int = 1) -> DataFrame:

@@ -116,7 +116,7 @@ _SQL_TURNS = "turns AS (SELECT a.conv_id * 1000 + a.turn AS utt_id, coalesce(a.t
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, word``: an inflected word for each document, and all words of its text."""
     d = B.read(spark, sf_dir, "documents")
-    own = d.select("doc_id", F.explode(T.words(T.normalize(B.translit(F.col("text"))))).alias("word"))
+    own = d.select("doc_id", F.explode(T.normalized_words(B.translit(F.col("text")))).alias("word"))
     return d.select("doc_id", B.inflected(F.col("doc_id") * 7 + 3).alias("word")).unionByName(own)
 
 
@@ -152,7 +152,7 @@ def _sentences(spark: SparkSession, sf_dir: str, table: str = "conversations") -
     """``sent_id, toks``: turns as normalised Cyrillic words."""
     c = B.read(spark, sf_dir, table)
     key = F.col("conv_id") * 1000 + F.col("turn") if table == "conversations" else F.col("item_id")
-    toks = T.words(T.normalize(B.translit(F.col("text"))))
+    toks = T.normalized_words(B.translit(F.col("text")))
     return c.select(key.alias("sent_id"), toks.alias("toks")).where(F.size("toks") > 0)
 
 
@@ -225,7 +225,7 @@ _V = {c: i for i, c in enumerate([*sorted(T.ALPHABET), vocab.WORD_DELIMITER, voc
 
 def normalize_documents(spark, sf_dir):
     d = B.read(spark, sf_dir, "documents")
-    return d.select("doc_id", T.normalize(B.translit(F.col("text"))).alias("normalized"), F.size(T.words(T.normalize(F.col("text")))).cast("bigint").alias("n_words"))
+    return d.select("doc_id", T.normalize(B.translit(F.col("text"))).alias("normalized"), F.size(T.normalized_words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
 def homoglyph_repair(spark, sf_dir):
@@ -251,7 +251,7 @@ def char_histogram(spark, sf_dir):
 
 
 def _distinct_words(spark, sf_dir):
-    d = B.read(spark, sf_dir, "documents").select(F.explode(T.words(T.normalize(B.translit(F.col("text"))))).alias("word"))
+    d = B.read(spark, sf_dir, "documents").select(F.explode(T.normalized_words(B.translit(F.col("text")))).alias("word"))
     return d.distinct()
 
 

@@ -13,8 +13,12 @@ from ..functions import text as T
 
 def read_corpus(spark: SparkSession, path: str, *, normalized: bool = True) -> DataFrame:
     """``text, toks`` of each line that has words; splittable, in no order."""
-    lines = spark.read.text(path).select((T.normalize(F.col("value")) if normalized else F.col("value")).alias("text"))
-    return lines.withColumn("toks", T.words(F.col("text"))).where(F.size("toks") > 0)
+    lines = spark.read.text(path)
+    if normalized:
+        rows = lines.select(T.normalize(F.col("value")).alias("text")).withColumn("toks", F.array_remove(F.split("text", " "), ""))
+    else:
+        rows = lines.select(F.col("value").alias("text"), T.words(F.col("value")).alias("toks"))
+    return rows.where(F.size("toks") > 0)
 
 
 def read_lines(spark: SparkSession, path: str, *, normalized: bool = True) -> DataFrame:
