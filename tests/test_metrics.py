@@ -99,3 +99,18 @@ def test_alignment_of_a_long_pair():
     changed = [w if k % 100 else "x" for k, w in enumerate(words)][:-3]
     ops = L._script(words, changed)
     assert sum(o != "match" for o, *_ in ops) == 200 + 3 and len(ops) == 20_000
+
+
+def test_scripts_go_back_some_rows_at_a_time():
+    """A batch of many pairs never becomes one batch of scripts, nor Python objects for each operation."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    say = lambda: None if rng.random() < 0.05 else rng.choices("abcdef", k=rng.randint(0, 60))
+    r, h = ([say() for _ in range(3000)] for _ in range(2))
+    kind = pa.list_(pa.string())
+    batches = list(L._scripts(pa.array(r, kind), pa.array(h, kind)))
+    assert max(map(len, batches)) <= 512 and sum(map(len, batches)) == 3000
+    got = [[(o["op"], o["ref"], o["hyp"]) for o in row] for b in batches for row in b.to_pylist()]
+    assert got == [L._script(x or [], y or []) for x, y in zip(r, h)]
+    assert batches[0][1].as_py() == [{"pos": k, "op": o, "ref": x, "hyp": y} for k, (o, x, y) in enumerate(L._script(r[1] or [], h[1] or []))]

@@ -113,7 +113,7 @@ def test_config(tmp_path):
 
 def test_normalize_reads_its_input_once(spark):
     """Texts are taken apart once, whatever they hold."""
-    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(T.normalize(F.upper("x")))._jdf.queryExecution().optimizedPlan().toString()
+    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(T.normalize(F.upper("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(") == 1
 
 

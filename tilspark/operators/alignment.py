@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +49,14 @@ def _rows(a: np.ndarray, b: np.ndarray, first: np.ndarray, i: int):
         yield row
 
 
-def _script(r: list, h: list) -> list[tuple]:
-    code: dict = {}
-    a = np.array([code.setdefault(x, len(code)) for x in r], np.int64)
-    b = np.array([code.setdefault(x, len(code)) for x in h], np.int64)
+#: operations of an edit script by their codes
+_OPS = ("match", "sub", "del", "ins")
+#: operations and rows that a batch of scripts holds at least, before it goes back to the JVM
+_BATCH_OPS, _BATCH_ROWS = 1 << 16, 512
+
+
+def _path(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Codes of the operations from ``a`` to ``b``, and the places in both of what they take (-1: none)."""
     n, m = len(a), len(b)
     # marks are rows from which a block of rows is made again on the way back
     block = n if n * (m + 1) <= _CELLS else max(1, int(n**0.5))
@@ -58,7 +65,7 @@ def _script(r: list, h: list) -> list[tuple]:
         for i, row in enumerate(_rows(a, b, marks[0], 0), 1):
             if i % block == 0:
                 marks.append(row)
-    out, i, j, begin, d = [], n, m, n + 1, []
+    ops, left, right, i, j, begin, d = [], [], [], n, m, n + 1, []
     while i or j:
         if i <= begin and (i or not d):  # the block of rows that ends with row i
             begin = max(0, (i - 1) // block * block) if block else 0
@@ -66,18 +73,66 @@ def _script(r: list, h: list) -> list[tuple]:
             d += _rows(a[:i], b, d[0], begin)
         row, above = d[i - begin], d[i - begin - 1] if i else None
         if i and j and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("match", r[i], h[j]))
+            op = 0
         elif i and j and row[j] == above[j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("sub", r[i], h[j]))
+            op = 1
         elif i and row[j] == above[j] + 1:
-            i -= 1
-            out.append(("del", r[i], None))
+            op = 2
         else:
+            op = 3
+        if op != 3:
+            i -= 1
+        if op != 2:
             j -= 1
-            out.append(("ins", None, h[j]))
-    return out[::-1]
+        ops.append(op)
+        left.append(i if op != 3 else -1)
+        right.append(j if op != 2 else -1)
+    return ops[::-1], left[::-1], right[::-1]
+
+
+def _script(r: list, h: list) -> list[tuple]:
+    """The edit script of two lists."""
+    code: dict = {}
+    a, b = (np.array([code.setdefault(t, len(code)) for t in x], np.int64) for x in (r, h))
+    return [(_OPS[o], r[i] if i >= 0 else None, h[j] if j >= 0 else None) for o, i, j in zip(*_path(a, b))]
+
+
+def _tokens(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all rows, and where each row's begin and end; null rows are empty."""
+    size = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    return x.flatten(), np.concatenate([[0], np.cumsum(size)])
+
+
+def _scripts(ref: pa.Array, hyp: pa.Array) -> Iterator[pa.Array]:
+    """Edit scripts of all rows, some rows at a time.  Tokens are compared by number and taken from the
+    input's buffers: no Python object is made of a token or an operation's fields."""
+    r, r_at = _tokens(ref)
+    h, h_at = _tokens(hyp)
+    number = pc.fill_null(pa.concat_arrays([r, h]).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    a, b = number[: len(r)], number[len(r) :]
+    names = pa.array(_OPS)
+
+    def batch() -> pa.Array:
+        place = lambda x: pa.array(x, pa.int64(), mask=x < 0)
+        sizes = np.array([len(x) for x in ops])
+        ends = np.cumsum(sizes)
+        pos = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        flat = lambda x: np.concatenate([np.asarray(p, np.int64) for p in x])
+        fields = [pa.array(pos, pa.int32()), names.take(pa.array(flat(ops))), r.take(place(flat(left))), h.take(place(flat(right)))]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays(fields, ["pos", "op", "ref", "hyp"]))
+
+    ops, left, right, held = [], [], [], 0
+    for i in range(len(ref)):
+        o, x, y = _path(a[r_at[i] : r_at[i + 1]], b[h_at[i] : h_at[i + 1]])
+        ops.append(np.array(o, np.int8))
+        left.append(np.array([k + r_at[i] if k >= 0 else -1 for k in x], np.int64))
+        right.append(np.array([k + h_at[i] if k >= 0 else -1 for k in y], np.int64))
+        held += len(o)
+        if held >= _BATCH_OPS or len(ops) >= _BATCH_ROWS:
+            yield batch()
+            ops, left, right, held = [], [], [], 0
+    if ops:
+        yield batch()
 
 
 def align(ref: Column, hyp: Column) -> Column:
@@ -85,16 +140,14 @@ def align(ref: Column, hyp: Column) -> Column:
     are optimal, the backtrace takes match before sub before del before ins.
 
     An Arrow function: rows of the distance matrix are vectorised, the backtrace walks one path.  A
-    matrix of more than ``_CELLS`` cells is never whole in memory.  Null arrays count as empty.
+    matrix of more than ``_CELLS`` cells is never whole in memory, and scripts go back some rows at a
+    time.  Null arrays count as empty.
     """
 
-    def script(r, h):
-        found = _script(list(r) if r is not None else [], list(h) if h is not None else [])
-        return [{"pos": k, "op": o, "ref": x, "hyp": y} for k, (o, x, y) in enumerate(found)]
-
-    @F.pandas_udf(OPS)
-    def run(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([script(x, y) for x, y in zip(r, h)])
+    @F.arrow_udf(OPS)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for r, h in batches:
+            yield from _scripts(r, h)
 
     return run(ref, hyp)
 
