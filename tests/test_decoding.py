@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import pytest
 
@@ -100,3 +101,21 @@ def test_word_and_morpheme_scorers(spark):
     assert ctc.word_scorer(m)(["мектеп"], "PL") == pytest.approx(m.logprob("PL", ["мектеп"]))
     score = ctc.morpheme_scorer(m, M.local_tokens)(["бала"], "мектептер")
     assert score == pytest.approx(m.logprob("мектеп", ["бала"]) + m.logprob("PL", ["мектеп"]))
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_model_in_files(spark, strict, monkeypatch):
+    """The same values as a collected model's, with blocks of a few lines, whatever words hold; nothing
+    of the model's size comes to the driver."""
+    rng = random.Random(4)
+    words = [*"abcdefgh", "a\tb", "c\nd", "\\n", "ж" * 300, "\U0001f600", "é"]
+    sents = spark.createDataFrame([(rng.choices(words, k=rng.randint(1, 9)),) for _ in range(300)], "toks array<string>")
+    m = LM.KneserNey.train(sents, 3, strict=strict)
+    local = m.local()
+    monkeypatch.setattr(LM.LocalKneserNey, "of", None)
+    monkeypatch.setattr(LM.SortedFiles, "BLOCK", 64)
+    monkeypatch.setattr(LM.SortedFiles, "HELD", 2)
+    filed = m.filed()
+    for _ in range(2000):
+        word, context = rng.choice([*words, "unseen", LM.EOS]), rng.choices([*words, "unseen", LM.BOS], k=rng.randint(0, 3))
+        assert filed.logprob(word, context) == local.logprob(word, context)

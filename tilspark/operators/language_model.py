@@ -7,7 +7,10 @@ counts on both sides.
 
 from __future__ import annotations
 
+import bisect
 import json
+import math
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,6 +197,10 @@ class KneserNey:
         """The tables in memory, for decoders: of the model's size, so of a checked one."""
         return LocalKneserNey.of(self)
 
+    def filed(self) -> "FiledKneserNey":
+        """The tables as sorted files that executors look up, for decoders: of any size."""
+        return FiledKneserNey.of(self)
+
 
 class LocalKneserNey:
     """Lookups of a collected model, by dictionaries."""
@@ -234,7 +241,140 @@ class LocalKneserNey:
         return p
 
     def logprob(self, word: str, context) -> float:
-        import math
+        p = self.prob(word, context)
+        return math.log(p) if p > 0 else FLOOR
+
+
+class SortedFiles:
+    """Lookups in files of ``key<TAB>value`` lines that are sorted by the bytes of their keys.  Of each
+    ``BLOCK`` bytes the first key is held, and of the blocks read those used last."""
+
+    BLOCK, HELD, ANSWERS = 1 << 14, 512, 100_000
+    _open: dict = {}  # by a worker's paths: the files and their keys are read once
+
+    def __init__(self, paths):
+        self.keys, self.at, self.blocks, self.answers = [], [], {}, {}
+        for path in sorted(paths):
+            f, size, i = open(path, "rb", buffering=0), os.path.getsize(path), 0
+            while i < size:
+                end = self._line_after(f, i + self.BLOCK, size)
+                self.keys.append(self._read(f, i, self._line_after(f, i + 1, size)).split(b"\t", 1)[0])
+                self.at.append((f, i, end))
+                i = end
+
+    @staticmethod
+    def _read(f, start: int, end: int) -> bytes:
+        out = b""
+        while start + len(out) < end:
+            part = os.pread(f.fileno(), end - start - len(out), start + len(out))
+            if not part:
+                break
+            out += part
+        return out
+
+    def _line_after(self, f, i: int, size: int) -> int:
+        """Where the first line begins that begins at ``i`` or later."""
+        i -= 1
+        while i < size:
+            part = self._read(f, i, min(size, i + 512))
+            k = part.find(b"\n")
+            if k >= 0:
+                return i + k + 1
+            i += len(part)
+        return size
+
+    @classmethod
+    def of(cls, names: tuple[str, ...]) -> SortedFiles:
+        if names not in cls._open:
+            from pyspark import SparkFiles
+
+            cls._open.clear()
+            cls._open[names] = cls([SparkFiles.get(n) for n in names])
+        return cls._open[names]
+
+    def get(self, key: str) -> str | None:
+        if key in self.answers:
+            return self.answers[key]
+        raw = _escaped(key).encode()
+        i = bisect.bisect_right(self.keys, raw) - 1
+        value = None
+        if i >= 0:
+            block = self.blocks.pop(i, None)
+            if block is None:
+                block = b"\n" + self._read(*self.at[i])
+                if len(self.blocks) >= self.HELD:
+                    del self.blocks[next(iter(self.blocks))]
+            self.blocks[i] = block
+            k = block.find(b"\n" + raw + b"\t")
+            if k >= 0:
+                k += len(raw) + 2
+                value = block[k : block.index(b"\n", k)].decode()
+        if len(self.answers) >= self.ANSWERS:
+            self.answers.clear()
+        self.answers[key] = value
+        return value
+
+
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"))
+
+
+def _escaped(key):
+    for a, b in _ESCAPES:
+        key = key.replace(a, b) if isinstance(key, str) else F.replace(key, F.lit(a), F.lit(b))
+    return key
+
+
+@dataclass(frozen=True)
+class FiledKneserNey:
+    """Lookups of a model in files: neither the driver nor a worker holds it.  Spark takes the files to
+    each executor once."""
+
+    order: int
+    names: tuple[str, ...]
+    disc: dict
+    types: int
+    v: int
 
+    @classmethod
+    def of(cls, m: KneserNey) -> FiledKneserNey:
+        spark = m.counts.sparkSession
+        key = lambda kind, *x: F.concat_ws(SEP, F.lit(kind), *x)
+        n = F.col("n").cast("string")
+        counts = m.counts.where("n > 1")
+        if m.strict:
+            counts = counts.join(m.cont, ["n", "ctx", "word"], "left").withColumn("c", F.coalesce("k", "c"))
+        rows = counts.select(key("g", n, "ctx", "word").alias("key"), F.col("c").cast("string").alias("value"))
+        rows = rows.unionByName(m.contexts.select(key("x", n, "ctx").alias("key"), F.concat_ws(" ", "total", "n1", "n2", "n3").alias("value")))
+        rows = rows.unionByName(m._unigrams().select(key("u", "token").alias("key"), F.coalesce("k", F.lit(0)).cast("string").alias("value")))
+        path = scratch.path(spark, "sorted")
+        rows = rows.withColumn("key", _escaped(F.col("key"))).repartitionByRange("key").sortWithinPartitions("key")
+        rows.select(F.concat_ws("\t", "key", "value")).write.option("compression", "none").text(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = [f.getPath() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        files = [f for f in files if f.getName().startswith("part-")]
+        for f in files:
+            spark.sparkContext.addFile(f.toString())
+        totals = m._totals().first()
+        disc = {r["n"]: (r["d1"], r["d2"], r["d3"]) for r in m.disc.collect()}  # a row for each order
+        return cls(m.order, tuple(f.getName() for f in files), disc, max(totals["types"], 1), totals["v"])
+
+    def prob(self, word: str, context) -> float:
+        get = SortedFiles.of(self.names).get
+        known = get(f"u{SEP}{word}")
+        k = int(known if known is not None else get(f"u{SEP}{UNK}") or 0)
+        p = k / self.types if k else 1.0 / (self.types + self.v + 1)
+        context = list(context)
+        for n in range(2, min(self.order, len(context) + 1) + 1):
+            ctx = SEP.join(context[len(context) - n + 1 :])
+            stats = [int(x) for x in (get(f"x{SEP}{n}{SEP}{ctx}") or "0").split(" ")]
+            if stats[0]:
+                total, *ns = stats
+                d = self.disc[n]
+                # a word that was never seen ends no n-gram
+                g = int(get(f"g{SEP}{n}{SEP}{ctx}{SEP}{word}") or 0) if known is not None else 0
+                p = max(g - (d[min(g, 3) - 1] if g else 0.0), 0.0) / total + sum(a * b for a, b in zip(d, ns)) / total * p
+        return p
+
+    def logprob(self, word: str, context) -> float:
         p = self.prob(word, context)
         return math.log(p) if p > 0 else FLOOR

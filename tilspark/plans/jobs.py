@@ -83,7 +83,7 @@ def decode(spark: SparkSession, frames: DataFrame, tokens: dict[str, int], strat
     """``utt_id, text``; the padding token is the blank."""
     lm = None
     if lm_path:
-        local = LM.KneserNey.load(spark, lm_path).local()
+        local = LM.KneserNey.load(spark, lm_path).filed()
         lm = ctc.word_scorer(local) if word_level else ctc.morpheme_scorer(local, M.local_tokens)
     params = ctc.BeamSearch(blank_id=tokens[vocab.PADDING], word_delimiter=vocab.WORD_DELIMITER, beam_width=beam_width)
     return ctc.transcribe(frames, {i: t for t, i in tokens.items()}, strategy, params, lm)

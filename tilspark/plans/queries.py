@@ -379,7 +379,7 @@ def ctc_beam(spark, sf_dir):
 
 def ctc_beam_lm(spark, sf_dir):
     frames, chars = _frames(spark, sf_dir)
-    lm = LM.KneserNey.train(_morpheme_sentences(spark, sf_dir), 2).local()
+    lm = LM.KneserNey.train(_morpheme_sentences(spark, sf_dir), 2).filed()
     scorer = ctc.morpheme_scorer(lm, M.local_tokens)
     return ctc.beam_decode(frames, chars, ctc.BeamSearch(), scorer).select("utt_id", "text", F.round("score", 9).alias("score"))
 
