@@ -119,3 +119,19 @@ def test_model_in_files(spark, strict, monkeypatch):
     for _ in range(2000):
         word, context = rng.choice([*words, "unseen", LM.EOS]), rng.choices([*words, "unseen", LM.BOS], k=rng.randint(0, 3))
         assert filed.logprob(word, context) == local.logprob(word, context)
+
+
+def test_counts_of_large_tables_are_cut(spark, tmp_path, monkeypatch):
+    """Tasks grow in number with the files, not with what each holds."""
+    rng = random.Random(6)
+    sents = spark.createDataFrame([(rng.choices("abcdefghij", k=rng.randint(0, 20)),) for _ in range(2000)], "toks array<string>").coalesce(1)
+    sents.write.parquet(str(tmp_path / "sents"))
+    sents = spark.read.parquet(str(tmp_path / "sents"))
+    counts = LM.ngram_counts(sents, 3)
+    want = sorted(map(tuple, counts.collect())), sorted(map(tuple, LM.continuation_counts(counts).collect()))
+    size = sum(f.stat().st_size for f in (tmp_path / "sents").glob("*.parquet"))
+    monkeypatch.setattr(LM.scratch, "PIECE", size // 30)
+    cut = LM.ngram_counts(sents, 3)
+    rest = LM.continuation_counts(cut)
+    assert cut.rdd.getNumPartitions() >= 30 and rest.rdd.getNumPartitions() >= 30
+    assert (sorted(map(tuple, cut.collect())), sorted(map(tuple, rest.collect()))) == want

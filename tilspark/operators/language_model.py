@@ -35,7 +35,11 @@ def _join(a: Column) -> Column:
 
 
 def ngram_counts(sentences: DataFrame, order: int, *, tokens_col: str = "toks") -> DataFrame:
-    """``n, ctx, word, c`` of all n-grams up to ``order``, padding included."""
+    """``n, ctx, word, c`` of all n-grams up to ``order``, padding included.  The tasks of a large table
+    are as many as its size asks for: what one of them counts is bounded, before the shuffle and after."""
+    n_tasks = scratch.pieces(sentences)
+    if n_tasks > sentences.rdd.getNumPartitions():
+        sentences = sentences.repartition(n_tasks)
     p = F.col("p")
 
     def windows(n: int) -> Column:
@@ -45,14 +49,15 @@ def ngram_counts(sentences: DataFrame, order: int, *, tokens_col: str = "toks")
 
     grams = [windows(n) for n in range(1, order + 1)]
     rows = sentences.select(padded(F.col(tokens_col), order).alias("p")).select(F.explode(F.concat(*grams)).alias("g")).select("g.*")
-    return rows.groupBy("n", "ctx", "word").agg(F.count("*").alias("c"))
+    return scratch.grouped(rows, n_tasks, "n", "ctx", "word").groupBy("n", "ctx", "word").agg(F.count("*").alias("c"))
 
 
 def continuation_counts(counts: DataFrame) -> DataFrame:
     """``n, ctx, word, k``: in how many left contexts each n-gram below the top order occurs."""
     parts = F.split("ctx", SEP)
     rest = F.when(F.col("n") > 2, _join(F.slice(parts, 2, F.size(parts)))).otherwise(F.lit(""))
-    return counts.where("n > 1").select((F.col("n") - 1).alias("n"), rest.alias("ctx"), "word").groupBy("n", "ctx", "word").agg(F.count("*").alias("k"))
+    shorter = counts.where("n > 1").select((F.col("n") - 1).alias("n"), rest.alias("ctx"), "word")
+    return scratch.grouped(shorter, scratch.pieces(counts), "n", "ctx", "word").groupBy("n", "ctx", "word").agg(F.count("*").alias("k"))
 
 
 def discounts(counts: DataFrame) -> DataFrame:

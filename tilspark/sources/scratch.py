@@ -30,3 +30,20 @@ def spread(df: DataFrame, least_rows: int = 256) -> DataFrame:
     task).  Files of a large table make more tasks than that, and nothing is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores and len(df.head(least_rows)) == least_rows else df
+
+
+#: bytes of files that a task's share of a large table is to hold: of text, n-grams take some fifty times that
+PIECE = 8 << 20
+
+
+def pieces(df: DataFrame) -> int:
+    """How many pieces of ``PIECE`` bytes the files behind ``df`` make (what has no size counts nothing)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return -(-sum(x for x in sizes if x < 1 << 50) // PIECE)
+
+
+def grouped(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` before an aggregation by ``keys``: dealt by them to ``n`` tasks where the session's number is
+    smaller, so that a task's groups don't grow with the table."""
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
