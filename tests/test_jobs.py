@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tilspark.operators import morph_wer as MW
 from tilspark.operators import vocab
@@ -88,3 +90,28 @@ def test_metric_of_predicted_ids(spark):
     rows = [([0, 0, 6, 1, 2, 4, 2, 3, 6], [0, 1, 2, 4, 2, 3, -100, -100]), ([0, 1, 1, 2], [0, 1, 1, 2, -100])]
     r = vocab.batch_wer(spark.createDataFrame(rows, "ids array<int>, labels array<int>"), v).first()
     assert (r["edits"], r["n_ref"]) == (1, 3)
+
+
+def test_lines_are_numbered_across_splits_and_files(spark, tmp_path):
+    """A large file is many tasks, and its lines have the numbers they'd have in one."""
+    rng = random.Random(8)
+    breaks = ["\n", "\n", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\n\n"]
+    whole = "".join(rng.choice(["", "a", "мен", "b c", "x" * 40]) + rng.choice(breaks) for _ in range(4000)) + "end"
+    for name, text in {"many": whole, "empty": "", "n": "a\n", "b": "a\x0b", "bn": "a\x0b\n", "u": "a\n\u2028", "only": "\n", "x": "a\x85b"}.items():
+        with open(tmp_path / f"{name}.txt", "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for name in ("many", "empty", "n", "b", "bn", "u", "only", "x"):
+            with open(tmp_path / f"{name}.txt", encoding="utf-8", newline="") as f:
+                want = f.read().splitlines()
+            got = files.read_lines(spark, str(tmp_path / f"{name}.txt"), normalized=False)
+            assert [tuple(r) for r in got.orderBy("utt_id").collect()] == list(enumerate(want))
+            if name == "many":
+                assert got.rdd.getNumPartitions() > 4
+        spark.range(500).select(F.col("id").cast("string").alias("value")).repartitionByRange(7, "id").sortWithinPartitions(F.col("value").cast("int")).write.text(str(tmp_path / "folder"))
+        got = files.read_lines(spark, str(tmp_path / "folder"), normalized=False).collect()
+        assert sorted(map(tuple, got)) == [(i, str(i)) for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

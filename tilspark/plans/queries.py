@@ -412,7 +412,7 @@ def _line_files(spark, sf_dir) -> tuple[str, str]:
     for side in ("ref", "hyp"):
         out.append(scratch.path(spark, side))
         rows = _turns(spark, sf_dir).select("utt_id", F.regexp_replace(B.translit(F.coalesce(side, F.lit(""))), r"\s+", " ").alias("value"))
-        rows.repartition(1).sortWithinPartitions("utt_id").select("value").write.text(out[-1])
+        rows.repartitionByRange("utt_id").sortWithinPartitions("utt_id").select("value").write.text(out[-1])
     return out[0], out[1]
 
 

@@ -21,11 +21,44 @@ def read_corpus(spark: SparkSession, path: str, *, normalized: bool = True) -> D
     return rows.where(F.size("toks") > 0)
 
 
+#: what ends a line, besides the line ends at which files are split
+_BREAKS = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def read_lines(spark: SparkSession, path: str, *, normalized: bool = True) -> DataFrame:
-    """``utt_id, text``: lines by number, empty ones kept (a transcript file is read whole)."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])\z", "").alias("value"), (F.col("value") == "").alias("none"))
-    rows = whole.where(~F.col("none")).select(F.posexplode(F.split("value", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("utt_id", "text"))
-    return rows.select(F.col("utt_id").cast("bigint").alias("utt_id"), (T.normalize(F.col("text")) if normalized else F.col("text")).alias("text"))
+    """``utt_id, text``: lines by number, empty ones kept; of a folder, the files' lines in the order of
+    their names.
+
+    Files are read in splits.  A first pass counts the lines of each split; a line's number is what the
+    splits before its own hold, and its place there.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("size"))
+    rows = lines.select("file", "at", "size", F.explode(F.split("value", _BREAKS)).alias("text")).withColumn("place", F.monotonically_increasing_id())
+    ends = F.max_by(F.col("text") == "", "place").alias("blank")
+    splits = rows.groupBy("file", "at", "size").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), ends).orderBy("file", "at").collect()  # a row for each split
+    starts, total = [], 0
+    for k, s in enumerate(splits):
+        final = k + 1 == len(splits) or splits[k + 1]["file"] != s["file"]
+        # a file that ends with one of the other breaks has no empty line behind it
+        over = 1 if final and s["blank"] and _ends_with_break(spark, s["file"], s["size"]) else 0
+        starts.append((s["file"], s["at"], total - s["first"], s["last"] - over))
+        total += s["n"] - over
+    starts = spark.createDataFrame(starts, "file string, at bigint, shift bigint, last bigint")
+    rows = rows.join(F.broadcast(starts), ["file", "at"]).where(F.col("place") <= F.col("last"))
+    return rows.select((F.col("place") + F.col("shift")).alias("utt_id"), (T.normalize(F.col("text")) if normalized else F.col("text")).alias("text"))
+
+
+def _ends_with_break(spark: SparkSession, file: str, size: int) -> bool:
+    """Are the last bytes of a file a break that isn't a line end?"""
+    jvm = spark._jvm
+    name = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = name.getFileSystem(spark._jsc.hadoopConfiguration()).open(name)
+    try:
+        stream.seek(max(0, size - 3))
+        tail = bytes(stream.read() for _ in range(min(3, size)))
+    finally:
+        stream.close()
+    return tail[-1:] in tuple(bytes([c]) for c in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E)) or tail[-2:] == b"\xc2\x85" or tail in (b"\xe2\x80\xa8", b"\xe2\x80\xa9")
 
 
 def pair_lines(ref: DataFrame, hyp: DataFrame, *, strict: bool = True) -> DataFrame:
